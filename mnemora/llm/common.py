@@ -220,3 +220,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = jumped.select("node", "component")
         if jumped.where("component <> old").isEmpty():
             return label
+
+
+# --- row identity ------------------------------------------------------------------------------
+
+
+def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(uid, doc_id, text) with null texts empty; uid orders rows as doc_id does and is never null.
+
+    Where no doc_id is null or repeated, it is the uid itself. Otherwise the distinct (doc_id, text)
+    are numbered in order, nulls first: repeated rows share a uid, other rows of one doc_id don't.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+    spark = docs.sparkSession
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    order = hashed.select("doc_id", "h").distinct().orderBy("doc_id", "h")
+    numbered = spark.createDataFrame(order.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0], r[0][1])), "uid long, d long, g long")
+    numbered = saved(numbered, "uid")
+    return hashed.join(numbered, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("uid", "doc_id", "text")

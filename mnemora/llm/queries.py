@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mnemora.llm.common import table
+from mnemora.llm.ngram_join import ngram_jaccard_join
 from mnemora.llm.packing import pack_documents
 from mnemora.llm.pii import span_report
 from mnemora.llm.quality import classify_quality
@@ -10,6 +11,10 @@ from mnemora.llm.tokenids import token_ids
 from mnemora.llm.warc import warc_round_trip
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark, sf_dir):
     return span_report(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op4_pii": op4_pii,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,

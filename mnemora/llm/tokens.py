@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 from mnemora.llm.common import prefix_hash, ragged, span_hash
 
 MARK = " \x01"
-CACHED = 2_500_000
-SLICE = 8 << 20
+CACHED = 2_000_000
+SLICE = 4 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
