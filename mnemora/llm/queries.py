@@ -7,6 +7,7 @@ from mnemora.llm.ngram_join import ngram_jaccard_join
 from mnemora.llm.packing import pack_documents
 from mnemora.llm.pii import span_report
 from mnemora.llm.quality import classify_quality
+from mnemora.llm.suffix_dedup import remove_repeats
 from mnemora.llm.tokenids import token_ids
 from mnemora.llm.warc import warc_round_trip
 
@@ -28,6 +29,10 @@ def op7_warc(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_token_ids(spark, sf_dir):
     return token_ids(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_packing": op10_packing,
 }
