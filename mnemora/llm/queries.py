@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from mnemora.llm.common import table
+from mnemora.llm.decontamination import decontaminate
 from mnemora.llm.ngram_join import ngram_jaccard_join
 from mnemora.llm.packing import pack_documents
 from mnemora.llm.pii import span_report
 from mnemora.llm.quality import classify_quality
 from mnemora.llm.suffix_dedup import remove_repeats
 from mnemora.llm.tokenids import token_ids
+from mnemora.llm.vector_dedup import near_duplicate_vectors
 from mnemora.llm.warc import warc_round_trip
 
 
@@ -16,10 +18,18 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark, sf_dir):
     return span_report(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_dedup(spark, sf_dir):
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark, sf_dir):
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +53,9 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_suffix_dedup": op8_suffix_dedup,
