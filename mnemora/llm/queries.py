@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from mnemora.llm.common import table
 from mnemora.llm.decontamination import decontaminate
+from mnemora.llm.lm import lm_scores
 from mnemora.llm.ngram_join import ngram_jaccard_join
 from mnemora.llm.packing import pack_documents
 from mnemora.llm.pii import span_report
@@ -18,6 +19,10 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +58,7 @@ def op10_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_vector_dedup": op5_vector_dedup,
