@@ -1,4 +1,7 @@
-"""All registered queries and their oracle SQL."""
+"""All registered queries of the engine and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from mnemora.plans import analytics, graph, ingestion, operations, retrieval
+
+_PARTS = (analytics, retrieval, graph, ingestion, operations)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
