@@ -95,7 +95,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**k and its inverse modulo 2**64 for k < n."""
-    if len(_powers.get("up", ())) < n:
+    if len(_powers.get("up", ())) < max(n, 1):
         size = 1 << max(12, (n - 1).bit_length())
         for key, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(size, base, dtype=U64)

@@ -110,7 +110,7 @@ def with_shared_prefix(rows: DataFrame) -> DataFrame:
                 if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush()
 
     met = rows.select("uid", "text").mapInArrow(run, "g long, uid long, hits int")
