@@ -193,20 +193,24 @@ def find_pii(docs: DataFrame, min_support: int = MIN_SUPPORT, disclose: float =
     near = found.select("doc_id", "row", F.explode("near").alias("n")).select("doc_id", "row", "n.*")
     pairs = near.select("doc_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_support)
     of_entity = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
-    total = docs.agg(F.count("*").alias("total"))
+    total = docs.count()
     given = F.col("both") / F.greatest("docs", "both")
-    bits = F.log2(given / (F.col("entity_docs") / F.col("total")))
-    telling = pairs.join(document_frequency(docs), "term").where(given >= disclose).join(of_entity, "entity").crossJoin(F.broadcast(total)).where(bits >= min_bits).select("entity", "term", (given >= remove).alias("removed"))
+    bits = F.log2(given / (F.col("entity_docs") / F.lit(max(total, 1))))
+    telling = pairs.join(document_frequency(docs), "term").where(given >= disclose).join(of_entity, "entity").where(bits >= min_bits).select("entity", "term", (given >= remove).alias("removed"))
     span = F.struct("start", F.lit(4).alias("kind"), "end", "removed")
     terms = near.join(telling, ["entity", "term"]).groupBy("doc_id", "row", "start", "end").agg(F.max("removed").alias("removed")).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(span)).alias("terms")).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "terms")
     return found.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "row", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")).alias("terms"))
 
 
+def _is_kind(k: int):
+    return lambda s: s["kind"] == k  # a second parameter would be the index
+
+
 def span_report(docs: DataFrame, **options) -> DataFrame:
     found = find_pii(docs, **options)
     plain = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     merged = F.sort_array(F.concat("base", plain))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    n = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
     return found.select("doc_id", *n, F.size("terms").cast("long").alias("n_term"), F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(merged).alias("spans"))
 
 
