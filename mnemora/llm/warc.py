@@ -84,7 +84,7 @@ class ArchiveWriter:
         self.fs, self.path = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.path, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
-        self.sink = self.fs.open_output_stream(f"{self.path}/_{self.name}")
+        self.sink = self.fs.open_output_stream(f"{self.path}/_{self.name}", compression=None)  # frames are compressed one by one
         dictionary = train(samples)
         raw = dictionary.as_bytes()
         self.sink.write(struct.pack("<II", DICT_MAGIC, len(raw)) + raw)
@@ -218,7 +218,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
             fs, path = pafs.FileSystem.from_uri(folder)
             for name in batch.column(0).to_pylist():
                 rows = []
-                with fs.open_input_stream(f"{path}/{name}") as source:
+                with fs.open_input_stream(f"{path}/{name}", compression=None) as source:
                     for h, _ in read_records(source):
                         target = h.get("warc-refers-to")
                         rows.append((page_of(h["warc-record-id"]), h.get("warc-target-uri"), int(h["warc-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], page_of(target) if target else None))
