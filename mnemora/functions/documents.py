@@ -50,4 +50,5 @@ def entitlements(defaults: Column, overrides: Column, grant: Column) -> Column:
 
 def log_record(raw: Column, schema: str) -> Column:
     """A record that is an object in a log line, or a string that holds one."""
-    return F.coalesce(F.from_json(raw, schema), F.from_json(F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"], schema))
+    inner = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]
+    return F.from_json(F.when(F.ltrim(raw).startswith('"'), inner).otherwise(raw), schema)

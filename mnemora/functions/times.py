@@ -78,7 +78,8 @@ def edge_recency(valid: Column, recorded: Column, now: Column) -> Column:
 def parse_iso(c: Column) -> Column:
     """A timestamp; without an offset it is UTC. Null where it is none or its year isn't in 1..9999."""
     plain = F.trim(c)
-    zoned = F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.concat(F.translate(plain, " ", "T"), F.lit("Z"))).otherwise(plain)
+    clock = F.when(plain.rlike(r"^[^T ]+[T ]\d{2}:\d{2}$"), F.concat(plain, F.lit(":00"))).otherwise(plain)
+    zoned = F.when(clock.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?$"), F.concat(F.translate(clock, " ", "T"), F.lit("Z"))).otherwise(plain)
     t = F.when(plain.rlike(r"^\d{4}-\d{2}(-\d{2}|$)"), F.try_to_timestamp(zoned))
     return F.when(F.year(t).between(1, 9999), t)
 

@@ -42,17 +42,21 @@ def relation_table(spark) -> DataFrame:
 # --- chunking ----------------------------------------------------------------------------------
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def turns_of(sources: DataFrame) -> DataFrame:
     """(source_id, turn, content): a conversation's turns. Lines without a role belong to the turn before."""
     line = F.col("line")
-    lines = sources.select("source_id", F.posexplode(F.split(F.trim("content"), r"\r?\n")).alias("n", "line"))
+    lines = sources.select("source_id", F.posexplode(F.split(stripped(F.col("content")), r"\r?\n")).alias("n", "line"))
     role = F.lower(F.regexp_extract(line, "(?i)" + ROLE_LINE, 1))
     starts = line.rlike("(?i)" + ROLE_LINE)
-    shown = F.when(starts, F.rtrim(F.concat(role, F.lit(": "), F.rtrim(F.regexp_extract(line, "(?i)" + ROLE_LINE, 2))))).otherwise(line)
+    shown = F.when(starts, F.regexp_replace(F.concat(role, F.lit(": "), F.regexp_extract(line, "(?i)" + ROLE_LINE, 2)), r"\s+$", "")).otherwise(line)
     order = W.partitionBy("source_id").orderBy("n")
     numbered = lines.select("source_id", "n", shown.alias("shown"), starts.alias("starts")).withColumn("part", F.sum(F.col("starts").cast("int")).over(order))
     grouped = numbered.groupBy("source_id", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "shown"))), lambda s: s["shown"]), "\n").alias("content"))
-    clean = grouped.withColumn("content", F.trim(F.col("content"))).where(F.length("content") > 0)
+    clean = grouped.withColumn("content", stripped(F.col("content"))).where(F.length("content") > 0)
     return clean.select("source_id", (F.row_number().over(W.partitionBy("source_id").orderBy("part")) - 1).cast("long").alias("turn"), "content")
 
 
@@ -123,7 +127,7 @@ def chunk_text(sources: DataFrame, target: int = TEXT_TARGET, most: int = TEXT_M
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: text_chunks(t, target, most))
 
-    text = F.regexp_replace(F.coalesce("content", F.lit("")), r"^\s+|\s+$", "")
+    text = stripped(F.coalesce("content", F.lit("")))
     pieces = F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= target, F.array(text)).otherwise(split(text))
     return sources.select("source_id", F.posexplode(pieces).alias("sequence", "content")).withColumn("sequence", F.col("sequence").cast("long"))
 
