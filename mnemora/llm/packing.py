@@ -1,8 +1,8 @@
 """Operator 10: cost-balanced packing of documents into training sequences.
 
-The cost of a piece is linear (per token) plus quadratic (attention within the piece). Documents are
-dealt to packing groups of a bounded token count, by a hash of the document, so no source or group
-of copies meets in one. Within a group, full-length pieces of long documents are sequences of their
+The cost of a piece is linear (per token) plus quadratic (attention within the piece). The documents a
+task reads are packed in groups of a bounded token count, so no source or group of copies decides how
+large a group gets and nothing is shuffled. Within a group, full-length pieces of long documents are sequences of their
 own; the remaining pieces, in descending cost, go to the sequence of lowest cost that has room for
 them. When none has, the piece is cut to fill the sequences with most room. The tokens left at the
 end are cut into sequences of power-of-two length, which need no padding.
@@ -54,46 +54,31 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int,
     bins = total // capacity
     sizes = [capacity] * bins + [1 << k for k in range(capacity.bit_length() - 1, -1, -1) if (total - bins * capacity) >> k & 1]
     room, costs = list(sizes), [0.0] * len(sizes)
-    cheapest = [(0.0, b) for b in range(len(sizes))]
-    roomiest = sorted((-r, b) for b, r in enumerate(room))
+    # pieces come in falling length: a sequence with room for one has room for the next until it is filled further
+    roomy: list[tuple[float, int]] = []  # by cost: sequences with room for the current piece
+    tight = sorted((-r, b) for b, r in enumerate(room))  # the others, most room first
 
-    def widest() -> int:
-        while -roomiest[0][0] != room[roomiest[0][1]]:
-            heapq.heappop(roomiest)
-        return roomiest[0][1]
-
-    def place(doc: int, start: int, n: int, b: int) -> None:
+    def place(doc: int, start: int, n: int, b: int, longest: int) -> None:
         pieces.append((doc, start, n, sequence + b, sizes[b] - room[b]))
         room[b] -= n
         costs[b] += cost(n)
-        if room[b]:
-            heapq.heappush(roomiest, (-room[b], b))
-            heapq.heappush(cheapest, (costs[b], b))
-
-    def lowest(n: int) -> int | None:
-        """The cheapest sequence with room for n; the roomiest, if the 64 cheapest have none."""
-        if room[widest()] < n:
-            return None
-        passed, found = [], None
-        while cheapest and found is None and len(passed) < 64:
-            c, b = heapq.heappop(cheapest)
-            if c == costs[b] and room[b] >= n:
-                found = b
-            elif c == costs[b] and room[b]:
-                passed.append((c, b))
-        for entry in passed:
-            heapq.heappush(cheapest, entry)
-        return widest() if found is None else found
+        if room[b] >= longest:
+            heapq.heappush(roomy, (costs[b], b))
+        elif room[b]:
+            heapq.heappush(tight, (-room[b], b))
 
     for n, doc, start in sorted(tails, key=lambda t: (-cost(t[0]), t[1])):
-        target = lowest(n)
-        if target is not None:
-            place(doc, start, n, target)
+        while tight and -tight[0][0] >= n:
+            b = heapq.heappop(tight)[1]
+            heapq.heappush(roomy, (costs[b], b))
+        if roomy:
+            place(doc, start, n, heapq.heappop(roomy)[1], n)
             continue
-        while n:
-            b = widest()
+        longest = n
+        while n:  # no sequence has room for all of it: cut it over those with most room
+            b = heapq.heappop(tight)[1]
             part = min(n, room[b])
-            place(doc, start, part, b)
+            place(doc, start, part, b, longest)
             start, n = start + part, n - part
     return pieces
 
