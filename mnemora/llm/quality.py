@@ -1,8 +1,8 @@
 """Operator 6: quality classifier, histogram gradient-boosted trees over document statistics.
 
 The statistics of all whole texts are computed batch-wise and kept in a table of a few dozen numbers a
-document. The trees are fitted in numpy on a bounded sample of labelled training rows (SAMPLE, taken
-by a hash of doc_id) and flattened into arrays, so scoring is a gather per tree level.
+document. The trees are fitted in numpy on a bounded sample of labelled training rows (about SAMPLE at
+most, taken by a hash of doc_id) and flattened into arrays, so scoring is a gather per tree level.
 
 Null texts count as empty; documents without words get a score as well; repeated rows are scored
 each; labels are reduced to one per doc_id (the largest); other columns are ignored. With no label or
@@ -199,7 +199,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, f
     stats = saved(statistics_table(docs), "doc-statistics")
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     known = known.where(crc_bucket(F.col("doc_id"), folds) != 0)
-    chosen = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("x", "quality").toPandas()
+    known = saved(known, "known-labels")
+    share = min(1.0, sample / max(known.count(), 1))  # of all labels: about `sample` rows at most come to the driver
+    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
+    chosen = stats.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
     x = np.stack(chosen["x"].to_numpy()) if len(chosen) else np.zeros((0, len(FEATURES)), np.float32)
     # cuts are halves of float32 values, so training and scoring see the same side
     model = fit(x.astype(np.float64), (chosen["quality"].to_numpy(dtype=float) >= 1).astype(float))
