@@ -11,8 +11,10 @@ sets are one class from the start. The rest goes in three steps, all exact:
 3. The global order is cut into fragments. A pair is compared fragment by fragment: the partial
    overlaps are counted separately and summed per pair. Pairs come from prefix buckets (partners meet
    in one). Within a bucket documents are first compared with one leader, in rounds; whoever links is
-   in the leader's component and needs no other pair with it. At the end every pair that a bucket still
-   holds between different components is compared, so no link between components is lost.
+   in the leader's component and needs no other pair with it. The pairs that a bucket still holds between
+   different components are sifted within tasks by an upper bound of their overlap: first, in rounds, the
+   likeliest partner of each document is compared, and at the end all pairs that the bound can't rule
+   out, so no link between components is lost.
 
 Only pairs that decide a component are counted. Documents without words link with nothing. Null texts
 count as empty, a null doc_id as the smallest, repeated rows link with each other, other columns are
@@ -31,7 +33,9 @@ from mnemora.llm.common import components, list_array, mix, on_batches, per_slic
 
 WORDS = 5
 PERCENT = 80
-ROUNDS = 2
+ROUNDS, BEST_ROUNDS = 1, 2
+CHUNK = 1024
+BINS = 256
 FLUSH = 2_000_000
 
 
@@ -159,7 +163,7 @@ class _Comparer:
         return total.where(f"100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b")
 
 
-def linked_classes(ordered: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+def linked_classes(ordered: DataFrame, rounds: int = ROUNDS, best_rounds: int = BEST_ROUNDS) -> DataFrame | None:
     """(node, component) over set ids, for sets that link with a different one; None without any."""
     ordered = saved(ordered, "ordered")
     compare = _Comparer(ordered)
@@ -188,20 +192,95 @@ def linked_classes(ordered: DataFrame, rounds: int = ROUNDS) -> DataFrame | None
         rows = labelled()
         lead = rows.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("id", "n", "s", "label"), F.xxhash64("id", F.lit(turn))).alias("l")).where("lo <> hi").select("g", "l")
         near = rows.join(lead, "g").where(f"label <> l.label and {_fits('x', 'l').replace('x.', '')}")
-        one = near.groupBy("id", "n").agg(F.min_by("l", F.xxhash64("l.id", F.lit(turn))).alias("l"))
+        met = near.groupBy("id", "n", "l").agg(F.count("*").alias("shared"))
+        one = met.groupBy("id", "n").agg(F.max_by("l", F.struct("shared", F.xxhash64("l.id", F.lit(turn)))).alias("l"))
         if not grown(one.select(F.col("id").alias("a"), F.col("l.id").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))):
             break
-    rows = saved(labelled(), "labelled")
-    by_label = rows.groupBy("g", "label").agg(F.count("*").alias("size"))
-    main = by_label.groupBy("g").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main")).where("labels >= 2").select("g", "main")
-    mixed = rows.join(main, "g")
-    x = mixed.where("label <> main").select("g", F.struct("id", "n", "s", "label").alias("x"))
-    y = mixed.select("g", F.struct("id", "n", "s", "label").alias("y"), (F.col("label") == F.col("main")).alias("in_main"))
-    rest = x.join(y, "g").where(f"x.label <> y.label and (in_main or x.id < y.id) and {_fits('x', 'y')}")
-    grown(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
+    bins = saved(summaries(ordered), "summaries")
+
+    def mixed() -> DataFrame:
+        """The buckets that hold several components, with the largest of each."""
+        rows = labelled()
+        by_label = rows.groupBy("g", "label").agg(F.count("*").alias("size"))
+        main = by_label.groupBy("g").agg(F.sum("size").alias("all"), F.count("*").alias("labels"), F.max_by(F.struct("label", "size"), F.struct("size", "label")).alias("main")).where("labels >= 2")
+        return rows.join(main.select("g", F.col("main.label").alias("main"), (F.col("all") - F.col("main.size")).alias("xs"), "all"), "g").join(bins, "id")
+
+    for _ in range(best_rounds):
+        best = possible_pairs(mixed(), best=True).groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("share", "b")).alias("p"))
+        if not grown(best.select("a", F.col("p.b").alias("b"), "na", F.col("p.nb").alias("nb"))):
+            break
+    grown(possible_pairs(mixed()).select("a", "b", "na", "nb").distinct())
     return label
 
 
+def summaries(ordered: DataFrame) -> DataFrame:
+    """(id, bins): how many shared shingles of a set fall into each of BINS hash bins. The sum of two sets' bin-wise
+    minima is at least their overlap."""
+
+    def kernel(batch):
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            n = part.column(1).value_lengths().to_numpy()
+            g = part.column(1).flatten().to_numpy().view(np.uint64)
+            at = np.repeat(np.arange(part.num_rows), n) * BINS + (mix(g) % np.uint64(BINS)).astype(np.int64)
+            count = np.minimum(np.bincount(at, minlength=part.num_rows * BINS), 65535).astype("<u2")
+            size = 2 * BINS
+            yield pa.record_batch([part.column(0), pa.array([count[k * BINS : (k + 1) * BINS].tobytes() for k in range(part.num_rows)], type=pa.binary(size)).cast(pa.binary())], names=["id", "bins"])
+
+    return on_batches(ordered.select("id", F.transform("sorted", lambda e: e["g"]).alias("grams")), ["id", "grams"], kernel, "id long, bins binary")
+
+
+def possible_pairs(mixed: DataFrame, chunk: int = CHUNK, best: bool = False) -> DataFrame:
+    """(a, b, na, nb, share): pairs of a bucket in different components whose sizes and summaries allow a link; with
+    `best` only the likeliest of each x and block. share is the largest Jaccard similarity that the summaries allow.
+
+    Rows outside the bucket's largest component (x) meet all rows (y), in blocks of x and y: what is dealt is a row
+    per block it belongs to, and no pair leaves a task but those that the summaries can't rule out.
+    """
+    xs, ys = (F.greatest(F.ceil(F.col(c) / chunk), F.lit(1)).cast("int") for c in ("xs", "all"))
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    columns = ["g", "id", "label", "n", "s", "bins"]
+    x = mixed.where("label <> main").select(*columns, part(xs).alias("i"), F.explode(F.sequence(F.lit(0), ys - 1)).alias("j"), F.lit(True).alias("is_x"), F.lit(False).alias("in_main"))
+    y = mixed.select(*columns, F.explode(F.sequence(F.lit(0), xs - 1)).alias("i"), part(ys).alias("j"), F.lit(False).alias("is_x"), (F.col("label") == F.col("main")).alias("in_main"))
+    names = ["g", "i", "j", "is_x", "id", "label", "n", "s", "in_main", "bins"]
+
+    def solve(rows):
+        is_x, ids, label, n, s, in_main = (np.array([r[k] for r in rows]) for k in range(3, 9))
+        bins = np.frombuffer(b"".join(r[9] for r in rows), dtype="<u2").reshape(len(rows), BINS)
+        right = np.flatnonzero(~is_x)
+        for k in np.flatnonzero(is_x):
+            most = np.minimum(s[k], s[right])
+            ok = (label[right] != label[k]) & (in_main[right] | (ids[right] > ids[k])) & (100 * most >= PERCENT * (n[k] + n[right] - most))
+            near = right[ok]
+            if len(near):
+                most = np.minimum(bins[k], bins[near]).sum(axis=1, dtype=np.int64)
+                share = most / (n[k] + n[near] - most)
+                ok = 100 * most >= PERCENT * (n[k] + n[near] - most)
+                if best and ok.any():
+                    ok = np.flatnonzero(ok)
+                    ok = ok[np.argmax(share[ok]), None]
+                near, share = near[ok], share[ok]
+            if len(near):
+                yield pa.record_batch([pa.array(np.full(len(near), ids[k])), pa.array(ids[near]), pa.array(np.full(len(near), n[k])), pa.array(n[near]), pa.array(share)], names=["a", "b", "na", "nb", "share"])
+
+    def run(batches):
+        task, rows, out = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if row[:3] != task:
+                    out += solve(rows) if rows else []
+                    task, rows = row[:3], []
+                rows.append(row)
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                out = []
+        if rows:
+            yield from solve(rows)
+
+    dealt = x.unionByName(y).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    return dealt.select(*names).mapInArrow(run, "a long, b long, na long, nb long, share double")
+
+
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     rows = with_uid(docs)
