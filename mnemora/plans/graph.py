@@ -176,7 +176,7 @@ def visible_users(spark, sf_dir):
 
 @query("visible_pair_counts", groups("select v.user_id as viewer, count(distinct m.user_id) as users from members v join reached r on r.root = v.group_id join members m on m.group_id = r.group_id group by 1"))
 def visible_pair_counts(spark, sf_dir):
-    return V.visible_pairs(T.members(spark, sf_dir), T.grants(spark, sf_dir)).groupBy("viewer").agg(F.count("*").alias("users"))
+    return V.visible_counts(T.members(spark, sf_dir), T.grants(spark, sf_dir))
 
 
 @query("grant_reaches", groups("select root, group_id from reached"))

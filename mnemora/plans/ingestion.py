@@ -163,7 +163,7 @@ def entity_resolution_fuzzy(spark, sf_dir):
 
 @query("name_similarity")
 def name_similarity(spark, sf_dir):
-    s = T.table(spark, sf_dir, "supplier").where("s_suppkey < 50")
+    s = T.table(spark, sf_dir, "supplier")
     return s.select("s_suppkey", token_sort_ratio_column(F.col("s_name"), F.lit("supplier 000000011")).alias("ratio"))
 
 
