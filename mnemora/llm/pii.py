@@ -1,14 +1,15 @@
 """Operator 4: information-theoretic sanitisation of personal data.
 
-Base spans (email, ip, card, phone) are the protected entities. Around each, the words of a bounded
-context are its terms. Corpus counts say how strongly a term reveals an entity: with n(e,t) documents
-that hold t in e's context and n(t) documents that hold t at all, the disclosure is
-log2(P(e|t) / P(e)), P(e|t) = n(e,t) / n(t). A term of at least MIN_SUPPORT documents whose P(e|t) and
-disclosure reach the thresholds is a span of kind `term` where it stands near the entity: removed
-where P(e|t) >= REMOVE, generalised otherwise.
+Base spans (email, ip, card, phone) are the protected entities. All words of a document that holds an
+entity, outside of base spans, are its terms. Corpus counts say how strongly a term reveals an entity:
+with n(e,t) documents that hold e and t and n(t) documents that hold t at all, the disclosure is
+log2(P(e|t) / P(e)), P(e|t) = n(e,t) / n(t). A term that shares at least MIN_SUPPORT documents with an
+entity and whose P(e|t) and disclosure reach the thresholds is a span of kind `term` wherever it stands,
+in documents without the entity too: removed where P(e|t) >= REMOVE for any entity, generalised otherwise.
 
 Counts are combined per task before they are shuffled, pairs are joined on (entity, term), and no
-group of documents is collected. Null texts count as empty, rows of one doc_id are one document in the
+group of documents is collected. The telling terms reach the tasks as a filter of a fixed number of
+bits; the words that pass it are joined with the terms. Null texts count as empty, rows of one doc_id are one document in the
 counts and rows of their own in the result if their texts differ, repeated rows give repeated results,
 other columns are ignored, and an empty table gives no rows.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from mnemora.llm.common import lowered, on_batches, per_slice, prefix_hash, saved, signed, span_hash, word_spans
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-CONTEXT_WORDS = 8
+FILTER_BITS = 24
 MIN_SUPPORT = 3
 DISCLOSE, REMOVE, MIN_BITS = 0.5, 0.9, 3.0
 
@@ -38,7 +39,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _STRIP = ".,;:!?\"'()[]{}<>|*#"
 
 
@@ -82,52 +82,59 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _term_hash(words: list[str]) -> list[int]:
-    """The same hashes as word_counts() gives, for lower-cased words."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    ends = np.cumsum([len(w) for w in raw])
-    data = lowered(np.frombuffer(b"".join(raw), dtype=np.uint8))
-    return signed(span_hash(prefix_hash(data), ends - [len(w) for w in raw], ends)).tolist()
-
-
-def context_terms(text: str, spans: list, width: int = CONTEXT_WORDS) -> list[tuple[int, str, int, int]]:
-    """(span number, term, start, end) of the words within `width` words of each span."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    begins = [w[0] for w in words]
-    covered = sorted((s, e) for s, _, e, _ in spans)
-    out = []
-    for k, (s, _, e, _) in enumerate(spans):
-        lo = int(np.searchsorted(begins, s, side="right"))
-        hi = int(np.searchsorted(begins, e, side="left"))
-        for a, b in words[max(0, lo - 1 - width) : hi + width]:
-            if any(a < y and b > x for x, y in covered):
-                continue
-            w = text[a:b]
-            a += len(w) - len(w.lstrip(_STRIP))
-            w = w.strip(_STRIP)
-            if len(w) >= 2:
-                out.append((k, w, a, a + len(w)))
-    return out
+def terms_of(data: np.ndarray, offsets: np.ndarray):
+    """(hash, text number, start, end, solid start, solid end) of the terms of a slice: its words without signs around
+    them, of two characters or more. Places are characters of the slice; the solid ones include the signs."""
+    low = lowered(data)
+    begins, stops, bounds = word_spans(low, offsets)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    sign = np.zeros(256, dtype=bool)
+    sign[list(_STRIP.encode())] = True
+    at, kept = np.arange(len(low)), ~sign[low]
+    following = np.minimum.accumulate(np.where(kept, at, len(low))[::-1])[::-1]
+    preceding = np.maximum.accumulate(np.where(kept, at, -1))
+    starts = np.minimum(following[begins], stops)
+    ends = np.maximum(preceding[stops - 1] + 1, starts)
+    place = char_places(data)
+    there = place[ends] - place[starts] >= 2
+    begins, stops, starts, ends, owner = begins[there], stops[there], starts[there], ends[there], owner[there]
+    return span_hash(prefix_hash(low), starts, ends), owner, place[starts], place[ends], place[begins], place[stops]
+
+
+def char_places(data: np.ndarray) -> np.ndarray:
+    """How many characters begin before each byte of UTF-8, and in all."""
+    return np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+
+
+def outside(begins: np.ndarray, stops: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Whether words overlap none of the (start, end) spans, which are ordered by start."""
+    if not spans:
+        return np.ones(len(begins), dtype=bool)
+    start, end = np.array(spans).T
+    before = np.searchsorted(start, stops, side="left")
+    return np.concatenate(([-1], np.maximum.accumulate(end)))[before] <= begins
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans of every document, with the terms around each entity."""
-    schema = "doc_id long, row long, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int>>"
+    """Base spans of every document, its entities, and where it has any the distinct terms outside of base spans."""
+    schema = "doc_id long, row long, base array<struct<start:int,kind:int,end:int>>, entities array<long>, terms array<long>"
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def kernel(batch):
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
-            base, near = [], []
+            base, entities, terms = [], [], []
             for text in part.column(2).to_pylist():
                 spans = base_spans(text)
                 base.append([{"start": s, "kind": k, "end": e} for s, k, e, _ in spans])
-                terms = context_terms(text, spans) if spans else []
-                entity = [_hash(f"{KINDS[k]}:{v}") for _, k, _, v in spans]
-                hashes = _term_hash([t[1] for t in terms]) if terms else []
-                near.append([{"entity": entity[k], "term": h, "start": a, "end": b} for (k, _, a, b), h in zip(terms, hashes, strict=True)])
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(base, type=base_type), pa.array(near, type=near_type)], names=["doc_id", "row", "base", "near"])
+                entities.append(sorted({_hash(f"{KINDS[k]}:{v}") for _, k, _, v in spans}))
+                if spans:
+                    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+                    h, *_, begins, stops = terms_of(raw, np.array([0, len(raw)]))
+                    terms.append(signed(np.unique(h[outside(begins, stops, [(s, e) for s, _, e, _ in spans])])))
+                else:
+                    terms.append([])
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(base, type=base_type), pa.array(entities, type=pa.list_(pa.int64())), pa.array(terms, type=pa.list_(pa.int64()))], names=["doc_id", "row", "base", "entities", "terms"])
 
     text = F.coalesce("text", F.lit(""))
     return on_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")), ["doc_id", "row", "text"], kernel, schema)
@@ -147,16 +154,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
         size = 0
         for batch in batches:
             for _, _, data, offsets in per_slice(batch.column(0)):
-                low = lowered(data)
-                starts, ends, bounds = word_spans(low, offsets)
-                strip = np.zeros(256, dtype=bool)
-                strip[list(_STRIP.encode())] = True
-                for _ in range(3):  # as strip() would, for up to three signs on a side
-                    starts = np.where((starts < ends) & strip[low[np.minimum(starts, len(low) - 1)]], starts + 1, starts)
-                    ends = np.where((starts < ends) & strip[low[np.maximum(ends - 1, 0)]], ends - 1, ends)
-                owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-                there = ends - starts >= 2
-                keys, owner = span_hash(prefix_hash(low), starts[there], ends[there]), owner[there]
+                keys, owner, *_ = terms_of(data, offsets)
                 order = np.lexsort((owner, keys))
                 keys, owner = keys[order], owner[order]
                 if not len(keys):
@@ -190,16 +188,60 @@ def joined_spans(spans):
 def find_pii(docs: DataFrame, min_support: int = MIN_SUPPORT, disclose: float = DISCLOSE, remove: float = REMOVE, min_bits: float = MIN_BITS) -> DataFrame:
     """doc_id, row (hash of the text), base and terms: arrays of spans; a term's `removed` says how it is treated."""
     found = saved(scan(docs), "pii-scan")
-    near = found.select("doc_id", "row", F.explode("near").alias("n")).select("doc_id", "row", "n.*")
-    pairs = near.select("doc_id", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_support)
-    of_entity = near.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    telling = saved(telling_terms(docs, found, min_support, disclose, remove, min_bits), "pii-telling")
+    span = F.struct("start", F.lit(4).alias("kind"), "end", "removed")
+    terms = places(docs, telling).join(telling, "term").select("doc_id", "row", "start", "end", "removed").distinct().groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(span)).alias("terms")).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "terms")
+    return found.drop("terms").join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "row", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")).alias("terms"))
+
+
+def telling_terms(docs: DataFrame, found: DataFrame, min_support: int, disclose: float, remove: float, min_bits: float) -> DataFrame:
+    """(term, removed): the terms that give any entity away."""
+    holds = found.where(F.size("entities") > 0).select("doc_id", "row", F.explode("entities").alias("entity")).distinct()
+    of_entity = holds.select("doc_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("entity_docs")).where(F.col("entity_docs") >= min_support)
+    of_entity = saved(of_entity, "pii-entities")
+    able = holds.join(of_entity, "entity").groupBy("doc_id", "row").agg(F.collect_list("entity").alias("able")).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "able")
+    rows = found.where(F.size("entities") > 0).select("doc_id", "row", "terms").dropDuplicates(["doc_id", "row"]).join(able, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    together = rows.select("doc_id", F.explode("able").alias("entity"), "terms").select("doc_id", "entity", F.explode("terms").alias("term"))
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():  # several texts of one doc_id: they count once
+        together = together.distinct()
+    pairs = together.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_support)
     total = docs.count()
     given = F.col("both") / F.greatest("docs", "both")
     bits = F.log2(given / (F.col("entity_docs") / F.lit(max(total, 1))))
-    telling = pairs.join(document_frequency(docs), "term").where(given >= disclose).join(of_entity, "entity").where(bits >= min_bits).select("entity", "term", (given >= remove).alias("removed"))
-    span = F.struct("start", F.lit(4).alias("kind"), "end", "removed")
-    terms = near.join(telling, ["entity", "term"]).groupBy("doc_id", "row", "start", "end").agg(F.max("removed").alias("removed")).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(span)).alias("terms")).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "terms")
-    return found.join(terms, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "row", "base", F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")).alias("terms"))
+    telling = pairs.join(document_frequency(docs), "term").where(given >= disclose).join(of_entity, "entity").where(bits >= min_bits)
+    return telling.groupBy("term").agg(F.max(given >= remove).alias("removed"))
+
+
+def places(docs: DataFrame, telling: DataFrame, log_bits: int = FILTER_BITS) -> DataFrame:
+    """(doc_id, row, term, start, end) of the words of all texts, outside of base spans, that may be telling: all that
+    are, and some whose hash shares a bit with one. The filter has 2**log_bits bits, whatever the number of terms."""
+    bit = F.col("term").bitwiseAND((1 << log_bits) - 1)
+    words = telling.groupBy(F.shiftright(bit, 5).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(term & 31 as int)))").alias("bits")).toArrow()  # at most 2**log_bits / 32 rows
+    table = np.zeros(1 << (log_bits - 5), dtype=np.uint32)
+    table[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+
+    def kernel(batch):
+        for i, j, data, offsets in per_slice(batch.column(2)):
+            h, owner, starts, ends, begins, stops = terms_of(data, offsets)
+            slot = h & np.uint64((1 << log_bits) - 1)
+            hit = np.flatnonzero(table[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+            if not len(hit):
+                continue
+            shift = char_places(data)[offsets]
+            keep = np.ones(len(hit), dtype=bool)
+            own = owner[hit]
+            for lo, hi in zip(first := np.flatnonzero(np.diff(own, prepend=-1)), [*first[1:], len(own)], strict=True):
+                at, k = hit[lo:hi], own[lo]
+                spans = [(s, e) for s, _, e, _ in base_spans(batch.column(2)[i + int(k)].as_py())]
+                keep[lo:hi] = outside(begins[at] - shift[k], stops[at] - shift[k], spans)
+            hit, own = hit[keep], own[keep]
+            for lo in range(0, len(hit), 100_000):
+                at, k = hit[lo : lo + 100_000], own[lo : lo + 100_000]
+                rows = pa.array(i + k)
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(signed(h[at])), pa.array((starts[at] - shift[k]).astype(np.int32)), pa.array((ends[at] - shift[k]).astype(np.int32))], names=["doc_id", "row", "term", "start", "end"])
+
+    text = F.coalesce("text", F.lit(""))
+    return on_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")), ["doc_id", "row", "text"], kernel, "doc_id long, row long, term long, start int, end int")
 
 
 def _is_kind(k: int):

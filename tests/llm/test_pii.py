@@ -4,6 +4,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from mnemora.llm.pii import base_spans, luhn, sanitise, span_report
 from tests.llm.cases import SCHEMA, documents, empty
 
@@ -75,3 +77,19 @@ def test_odd_rows(spark):
     out = sanitise(twice)
     assert out.columns == docs.columns and out.count() == twice.count()
     assert [r.text for r in out.where("doc_id = 300").collect()] == [None, None]
+
+
+def test_terms_are_found_far_from_the_entity_and_without_it(spark):
+    gap = "and so we say again that all of this was about nothing in the end"
+    far = f"Quuxfrob!!!! é {gap} write zorblax@example.org, {gap}; ((((Zorblax)))) left"
+    rows = [(i, far) for i in range(6)] + [(50, "about nothing: Quuxfrob again")] + [(100 + i, f"x{i} {gap} and we write {gap} left") for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "", "", 0, "", "") for i, t in rows], SCHEMA)
+    found = {r.doc_id: [tuple(x.split(":")) for x in r.spans.split(",") if x] for r in span_report(docs).collect()}
+    words = lambda i, t: [t[int(s) : int(e)] for k, s, e in found[i] if k == "term"]
+    assert words(0, far) == ["Quuxfrob", "Zorblax"]
+    assert words(50, rows[6][1]) == ["Quuxfrob"]  # 6 of 7 documents with it have the email: generalised
+    assert not any(found[100 + i] for i in range(80))
+    text = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert text[50] == "about nothing: [TERM] again" and text[0].endswith("(((())))" + " left") and text[0].startswith("[TERM]!!!!")
+    twice = span_report(docs.withColumn("doc_id", F.when(F.col("doc_id") >= 6, F.col("doc_id"))).union(docs.where("doc_id < 6")))
+    assert twice.count() == 93
