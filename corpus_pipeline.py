@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import saved, table
+from mnemora.llm.common import saved, table, with_uid
 from mnemora.llm.decontamination import decontaminate
 from mnemora.llm.ngram_join import ngram_jaccard_join
 from mnemora.llm.packing import pack_documents
@@ -17,26 +17,41 @@ from mnemora.llm.pii import sanitise
 from mnemora.llm.quality import classify_quality
 
 
+def _hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among `kept`; a null doc_id is found too."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    """The rows of docs whose doc_id, null too, and text are among `kept` (kept_id, kept_text: a hash)."""
+    marked = docs.withColumn("text_", _hash())
+    kept = kept.select("kept_id", "kept_text").distinct()
+    return marked.join(kept, marked["doc_id"].eqNullSafe(kept["kept_id"]) & (marked["text_"] == kept["kept_text"]), "left_semi")
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The docs with a doc_id for each doc_id and text, in order of the doc_ids; and (uid, kept_id, kept_text)."""
+    rows = with_uid(docs)
+    return rows.select(F.col("uid").alias("doc_id"), "text"), rows.select("uid", F.col("doc_id").alias("kept_id"), _hash().alias("kept_text")).distinct()
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good."""
-    return _keep(docs, classify_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    good = classify_quality(docs, table(spark, sf_dir, "labels"), keyed=True).where("predicted = 1")
+    return _keep(docs, good.select(F.col("doc_id").alias("kept_id"), F.col("row").alias("kept_text"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest doc_id, of each group."""
-    joined = ngram_jaccard_join(docs)
-    return _keep(docs, joined.where(F.col("doc_id").eqNullSafe(F.col("component_id")))).dropDuplicates(["doc_id"])
+    """One document, the one of smallest doc_id, of each group; of rows that repeat doc_id and text, one."""
+    rows, names = _numbered(docs)
+    first = ngram_jaccard_join(rows).where("doc_id = component_id").select(F.col("doc_id").alias("uid"))
+    return _keep(docs, names.join(first, "uid", "left_semi")).dropDuplicates(["doc_id", "text_"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks."""
-    return _keep(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    rows, names = _numbered(docs)
+    clean = decontaminate(rows, table(spark, sf_dir, "benchmark")).where("not contaminated").select(F.col("doc_id").alias("uid"))
+    return _keep(docs, names.join(clean, "uid", "left_semi")).select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

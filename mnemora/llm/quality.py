@@ -120,9 +120,10 @@ def statistics_table(docs: DataFrame) -> DataFrame:
     def kernel(batch):
         for i, j, data, offsets in per_slice(batch.column(1)):
             rows = statistics(data, offsets).astype(np.float32)
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["doc_id", "x"])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["doc_id", "row", "x"])
 
-    return on_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id", "text"], kernel, "doc_id long, x array<float>")
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    return on_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row")), ["doc_id", "text", "row"], kernel, "doc_id long, row long, x array<float>")
 
 
 @dataclass
@@ -194,8 +195,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
     return Trees(feature, cut, left, right, value, empty.bias, depth)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs; where `keyed`, also row, the hash of its text."""
     stats = saved(statistics_table(docs), "doc-statistics")
     known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     known = known.where(crc_bucket(F.col("doc_id"), folds) != 0)
@@ -210,9 +211,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, f
     def kernel(batch):
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
-            rows = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
-            yield pa.record_batch([part.column(0), pa.array(model.score(rows))], names=["doc_id", "score"])
+            rows = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+            yield pa.record_batch([part.column(0), part.column(1), pa.array(model.score(rows))], names=["doc_id", "row", "score"])
 
-    scored = on_batches(stats, ["doc_id", "x"], kernel, "doc_id long, score double")
+    scored = on_batches(stats, ["doc_id", "row", "x"], kernel, "doc_id long, row long, score double")
     held_out = F.coalesce(crc_bucket(F.col("doc_id"), folds) == 0, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", *["row"] * keyed, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from mnemora.llm import quality as Q
 from tests.llm.cases import documents
 from tests.llm.test_decontamination import Q1, bench
 
@@ -37,3 +40,29 @@ def test_one_of_each_group_stays(spark):
 
     groups = {r.component_id for r in ngram_jaccard_join(docs).collect()}
     assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, "").collect()) == sorted(groups)
+
+
+def test_rows_of_one_doc_id_are_decided_each(spark, tmp_path):
+    clean = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    leak = f"{' '.join(f'k{i}' for i in range(60))} {Q1}"
+    rows = [(None, clean[0]), (None, clean[1]), (None, leak), (7, clean[2]), (7, clean[3]), (7, clean[3]), (7, leak), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    order = lambda x: sorted(map(str, x))
+    once = P.near_duplicates(spark, docs.where("doc_id is null or doc_id <> 8"), "")
+    assert order(map(tuple, once.where(~F.col("text").contains("k59")).collect())) == order([rows[0], rows[1], rows[3], rows[4]])
+    left = P.decontamination(spark, docs, f"file://{tmp_path}")
+    assert order(map(tuple, left.collect())) == order(r for r in rows if r[1] != leak)
+
+
+def test_quality_decides_each_text(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(None, "good text"), (None, "bad text"), (7, "bad text"), (7, "good text"), (9, "bad text")], "doc_id long, text string")
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    class Model:
+        def score(self, x):
+            return (x[:, Q.FEATURES.index("bytes")] > 2.25).astype(float)  # log1p(9) against log1p(8)
+
+    monkeypatch.setattr(Q, "fit", lambda *a: Model())
+    got = P.quality(spark, docs, f"file://{tmp_path}").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, "good text"), (7, "good text")]))
