@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemora.functions.fuzzy import token_sort_ratio_column
+from mnemora.functions.fuzzy import sorted_words, token_sort_ratio_column
 from mnemora.functions.text import casefold, collapse, relation_name, word_count
 from mnemora.functions.times import parse_iso
 from mnemora.functions.vectors import unit_score
@@ -234,15 +235,63 @@ def resolve_entities(names: DataFrame, entities: DataFrame, pool: DataFrame | No
     return out.select("key", "name", F.coalesce("exact_id", best, entity_id_of(F.lit(space), F.col("key"))).alias("entity_id"), how.alias("how"))
 
 
-def shared_word_pool(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """A candidate pool (key, entity_id) by words in common, for names without vectors; words of very many
-    entities are left to rarer ones only where a name has any."""
-    words = lambda c: F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower(c), r"[^\w]+", " "), " ")))
-    left = names.select("key", words(F.col("key")).alias("w")).where("w <> ''")
-    right = entities.select("entity_id", words(F.col("name")).alias("w")).where("w <> ''")
-    weight = right.groupBy("w").agg(F.count("*").alias("n"))
-    rarest = left.join(weight, "w").groupBy("key").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
-    return rarest.join(right, "w").select("key", "entity_id").distinct()
+def _least_common(total: int) -> int:
+    """The least common length that gives two names of `total` characters the ratio RESOLVE_SCORE."""
+    least = max(0, int((RESOLVE_SCORE - 0.5) * total / 200) - 1)
+    while int(200 * least / total + 0.5) < RESOLVE_SCORE:
+        least += 1
+    return least
+
+
+@cache
+def _shared_grams(n: int) -> int:
+    """How many character trigrams a name of n characters shares at least with any that it resolves to.
+
+    A common subsequence of L of a + b characters has L trigrams, the name's ends included, and each of
+    the a + b - 2L other characters parts two of them at most.
+    """
+    return min(5 * least - 2 * (n + m) for m in range(1, 2 * n + 1) if (least := _least_common(n + m)) <= min(n, m))
+
+
+def _name_grams(name: Column) -> Column:
+    """(n, front, grams): length of the sorted words, how many of the rarest grams must hold a shared one, and the
+    trigrams, equal ones numbered."""
+
+    @F.pandas_udf("n int, front int, grams array<string>")
+    def grams(names: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in map(sorted_words, names.fillna("")):
+            n, seen, got = len(text), {}, []
+            framed = f"\x01{text}\x02"
+            for k in range(n):
+                g = framed[k : k + 3]
+                seen[g] = seen.get(g, 0) + 1
+                got.append(f"{g}{seen[g]}")
+            out.append((n, n - _shared_grams(n) + 1 if n else 0, got))
+        return pd.DataFrame(out, columns=["n", "front", "grams"])
+
+    return grams(name)
+
+
+def similar_name_pool(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """A candidate pool (key, entity_id) for names without vectors: it has every pair whose ratio reaches RESOLVE_SCORE.
+
+    Such names share one of their rarest trigrams (a prefix filter), and their lengths allow the ratio.
+    """
+    cut = lambda df, key, name: df.select(F.col(key).alias("id"), _name_grams(F.col(name)).alias("x")).select("id", "x.n", "x.front", F.explode("x.grams").alias("g"))
+    left, right = cut(names.select("key").distinct(), "key", "key"), cut(entities.select("entity_id", "name").distinct().withColumn("own", F.struct("entity_id", "name")), "own", "name")
+    weight = right.groupBy("g").agg(F.count("*").alias("c"))
+
+    def front(rows: DataFrame) -> DataFrame:
+        ranked = rows.join(weight, "g", "left").groupBy("id", "n", "front").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g"))).alias("all"))
+        return ranked.select("id", "n", F.explode(F.slice("all", F.lit(1), F.col("front"))).alias("e")).select("id", "n", "e.g")
+
+    met = front(left).select(F.col("id").alias("key"), "n", "g").join(front(right).select("id", F.col("n").alias("m"), "g"), "g")
+    fits = F.floor(200 * F.least("n", "m") / (F.col("n") + F.col("m")) + 0.5) >= RESOLVE_SCORE
+    return met.where(fits).select("key", F.col("id.entity_id").alias("entity_id")).distinct()
+
+
+shared_word_pool = similar_name_pool  # its earlier name
 
 
 def memory_entity_links(entities: DataFrame, resolved: DataFrame, existing: DataFrame | None = None) -> DataFrame:

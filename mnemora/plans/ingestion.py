@@ -158,7 +158,7 @@ def entity_resolution_fuzzy(spark, sf_dir):
     parts = T.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("entity_id")).select("entity_id", F.col("p_name").alias("name"))
     turned = parts.select(F.concat(F.split("name", " ")[1], F.lit(" "), F.split("name", " ")[0], F.lit("s")).alias("name"))
     names = turned.select(casefold(F.col("name")).alias("key"), "name").distinct()
-    return I.resolve_entities(names, parts, I.shared_word_pool(names, parts))
+    return I.resolve_entities(names, parts, I.similar_name_pool(names, parts))
 
 
 @query("name_similarity")
