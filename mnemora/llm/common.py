@@ -6,14 +6,18 @@ texts in one numpy array plus the documents' offsets, so no per-row Python runs
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 CHUNK_BYTES = 2 << 20
@@ -24,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver can reach; our own only where the session names none."""
+    """The folder that all executors and the driver can reach. Only a local session may have one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='mnemora-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -36,6 +42,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage by a written table: a lost executor costs a reread, not a recomputation."""
     path = scratch(df.sparkSession, name)
@@ -43,6 +54,41 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Work:
+    """The written tables of one operator's run; on leaving, all are deleted but those that were kept.
+
+    A table may be dropped earlier, once nothing reads it again: rounds don't pile up on the disk.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch(spark, name)
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[df for df, _ in list(self.tables.values())])
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(out)] = out, path
+        return out
+
+    def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """A table that what the operator returns reads."""
+        out = df if id(df) in self.tables else self.save(df, name)
+        self.tables.pop(id(out))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            if df is not None and (found := self.tables.pop(id(df), None)):
+                removed(self.spark, found[1])
+
+
 def crc_bucket(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
@@ -89,41 +135,42 @@ def on_batches(df: DataFrame, columns: list[str], kernel: Callable, schema: str)
 
 # --- hashing -----------------------------------------------------------------------------------
 
-BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and its inverse modulo 2**64 for k < n."""
-    if len(_powers.get("up", ())) < max(n, 1):
-        size = 1 << max(12, (n - 1).bit_length())
-        for key, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=U64)
-    return _powers["up"][:n], _powers["down"][:n]
+# fixed values: multipliers and shifts of a published 64-bit finaliser (splitmix)
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+ODD = U64(0x9E3779B97F4A7C15)
+LONG = 256
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A finalising bijection on 64 bits (splitmix)."""
-    x = x ^ (x >> U64(30))
-    x = x * U64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U64(27))
-    x = x * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] a polynomial hash of data[i:j], up to the factor BASE**i."""
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up, dtype=U64, out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A finalising bijection on 64 bits."""
+    for shift, factor in MIX:
+        x = (x ^ (x >> U64(shift))) * U64(factor)
+    return x
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte on, and from the end on, as numbers; there are zeros behind the end."""
+    raw = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=raw, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans data[starts:ends]: each 8 bytes are mixed in by a bijection that depends on all
+    before, so no sum of powers cancels out; spans of more than LONG bytes get a cryptographic hash."""
+    there = eights(data)
+    size = ends - starts
+    h = mix((mix(size.astype(U64) * ODD + ODD) ^ (there[starts] & _FIRST[np.minimum(size, 8)])) * ODD)
+    rows = np.flatnonzero(size > 8)
+    for done in range(8, LONG, 8):
+        if not len(rows):
+            break
+        h[rows] = mix((h[rows] ^ (there[starts[rows] + done] & _FIRST[np.minimum(size[rows] - done, 8)])) * ODD)
+        rows = rows[size[rows] > done + 8]
+    if len(rows):
+        raw = data.tobytes()
+        h[rows] = [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
+    return h
 
 
 # --- words -------------------------------------------------------------------------------------
@@ -154,7 +201,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """64-bit hashes of the lower-cased words of a slice, and the documents' offsets into them."""
     data = lowered(data)
     starts, ends, docs = word_spans(data, offsets)
-    return span_hash(prefix_hash(data), starts, ends), docs
+    return span_hash(data, starts, ends), docs
 
 
 def shingle_sets(words: np.ndarray, docs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +218,7 @@ def shingle_sets(words: np.ndarray, docs: np.ndarray, k: int = 5) -> tuple[np.nd
     for i in range(k):
         there = i < size
         at = np.minimum(first + i, max(len(words) - 1, 0))
-        h = np.where(there, mix(h + (words[at] if len(words) else h)) * U64(BASE), h)
+        h = np.where(there, mix(h + (words[at] if len(words) else h)) * ODD, h)
     h = mix(h + size.astype(U64))
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
@@ -197,47 +244,108 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
 
 
+# --- groups of rows ----------------------------------------------------------------------------
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each group as one batch, from rows that are sorted by their first `keys` columns."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch, row):
+        return [batch.column(k)[row] for k in range(keys)]
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        edge = np.zeros(n, dtype=bool)
+        for k in range(keys):
+            c = batch.column(k)
+            edge[1:] |= pc.not_equal(c[1:], c[:-1]).fill_null(True).to_numpy(zero_copy_only=False)
+        edge[0] = not held or key(batch, 0) != key(held[-1], held[-1].num_rows - 1)
+        first = np.flatnonzero(edge)
+        if not len(first) or first[0]:
+            held.append(batch.slice(0, int(first[0]) if len(first) else n))
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
+            if held:
+                yield pa.concat_batches(held)
+            held = [batch.slice(lo, hi - lo)]
+    if held:
+        yield pa.concat_batches(held)
+
+
 # --- linked groups -----------------------------------------------------------------------------
 
+HOT = 1000
+
+
+def hot_keys(rows: DataFrame, key: str, total: int, hot: int = HOT) -> DataFrame:
+    """The keys that more than 1/hot of the rows have: fewer than `hot` ones, whatever the input."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * hot > total).select(key)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join on key, which is unique in `table`. The hot keys, a bounded number, meet their rows by a
+    broadcast, so no key's rows are shuffled into one task; the other rows are shuffled."""
+    hot = F.broadcast(hot)
+    return rows.join(hot, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(table.join(hot, key)), key))
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+
+def components(edges: DataFrame, work: Work, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over the edges, for nodes that have edges.
 
-    Alternates min-label hooking with pointer jumping; every round is an aggregation with map-side
-    combine, so a hub with very many links is no single group. Rounds are written to shared storage.
+    Alternates min-label hooking with pointer jumping; every round is an aggregation with map-side combine and two
+    lookups whose hot keys (hubs, large components) are spread. Rounds are written to shared storage.
     """
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    links = saved(links.union(links.select("b", "a")).distinct(), "links")
+    links = work.save(links.union(links.select("b", "a")).distinct(), "links")
+    hubs = work.save(hot_keys(links, "b", links.count()), "hubs")
     label = links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    label = saved(label, "label")
+    label = work.save(label, "label")
+    total = label.count()
     while True:
-        near = links.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = label.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        near = looked_up(links, label.withColumnRenamed("node", "b"), "b", hubs).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hooked = work.save(label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), "hooked")
         # a label's own label: two steps at once
-        up = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        jumped = hooked.join(up, "component", "left").select("node", "old", F.least("component", "up").alias("component"))
-        jumped = saved(jumped, "label")
-        label = jumped.select("node", "component")
+        up = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        jumped = looked_up(hooked, up, "component", hot_keys(hooked, "component", total)).select("node", "old", F.least("component", "up").alias("component"))
+        jumped = work.save(jumped, "label")
+        work.drop(label, hooked)
+        label = jumped
         if jumped.where("component <> old").isEmpty():
-            return label
+            work.drop(links, hubs)
+            return jumped.select("node", "component")
+        label = jumped.select("node", "component")
 
 
 # --- row identity ------------------------------------------------------------------------------
 
 
-def with_uid(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def numbered(keys: DataFrame, *order: str) -> DataFrame:
+    """Distinct rows with a number that rises in their order: the part of a range partitioning, then the place there."""
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names, "uid"])
+            at += batch.num_rows
+
+    return keys.distinct().repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, T.StructType([*keys.schema.fields, T.StructField("uid", T.LongType())]))
+
+
+def with_uid(docs: DataFrame, work: Work, keep: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(uid, doc_id, text) with null texts empty; uid orders rows as doc_id does and is never null.
 
     Where no doc_id is null or repeated, it is the uid itself. Otherwise the distinct (doc_id, text)
-    are numbered in order, nulls first: repeated rows share a uid, other rows of one doc_id don't.
+    are numbered in order, nulls first: repeated rows share a uid, other rows of one doc_id don't. With `keep` the
+    numbers outlive `work`.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
     if odd.isEmpty():
         return rows.select(F.col("doc_id").alias("uid"), "doc_id", "text")
-    spark = docs.sparkSession
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    order = hashed.select("doc_id", "h").distinct().orderBy("doc_id", "h")
-    numbered = spark.createDataFrame(order.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0], r[0][1])), "uid long, d long, g long")
-    numbered = saved(numbered, "uid")
-    return hashed.join(numbered, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("uid", "doc_id", "text")
+    names = work.save(numbered(hashed.select(F.col("doc_id").alias("d"), F.col("h").alias("g")), "d", "g"), "uid")
+    if keep:
+        work.keep(names)
+    return hashed.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("uid", "doc_id", "text")

@@ -2,15 +2,20 @@
 
 Words become template words: numbers, names (capitalised within a sentence) and units (after a number)
 turn into typed placeholders, all else is lower-cased and stripped of punctuation. Windows of 5
-template words of the documents are hash-joined with those of the benchmark. Hits are lined up by the
-distance between their places; within a line each slot of the item (the value a placeholder stands
-for) must map to one value of the document: a re-parameterised question does, chance hits don't. An
-item leaks into a document if the consistent lines cover at least COVERAGE of its words.
+template words of the documents, those with PLAIN ordinary words at least, are hash-joined with those of
+the benchmark. (A window of placeholders fits any table of numbers or list of names: it tells nothing.)
+Hits are lined up by the distance between their places; within a line each slot of the item (the value a
+placeholder stands for) must map to one value of the document: a re-parameterised question does, chance
+hits don't. An item leaks into a document if the consistent lines cover at least COVERAGE of its words.
 
 The benchmark's windows are broadcast only while there are at most BROADCAST_WINDOWS of them (counted
-first); beyond that all windows of the documents are shuffled and joined. Null texts count as empty;
-items of fewer than 5 words have no window and can't leak; repeated items are one item each by item_id;
-repeated rows get the same result each; other columns are ignored; an empty table gives no rows.
+first); beyond that all windows of the documents are shuffled and joined, the hottest windows (a bounded
+number) apart from the others. Both ways give the same rows.
+
+Null texts count as empty; items of fewer than 5 words have no window and can't leak; rows of one item_id
+with different texts are items of their own, told by the one id; an item without id is called `null`;
+repeated items are one; repeated documents get the same result each, whatever the doc_id, null too; other
+columns are ignored; an empty table gives no rows, and without items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -20,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import U64, list_array, lowered, mix, on_batches, per_slice, prefix_hash, signed, span_hash, with_uid, word_spans
+from mnemora.llm.common import HOT, U64, Work, list_array, lowered, mix, on_batches, per_slice, signed, span_hash, with_uid, word_spans
 
-WINDOW = 5
+WINDOW, PLAIN = 5, 2
 COVERAGE = 0.5
 CONSISTENT = 0.8
 BROADCAST_WINDOWS = 1_000_000
+SALTS = 32
 
 # fixed values: words that count as units after a number
 UNITS = (
@@ -44,7 +50,7 @@ _STOPS[list(b".!?:;|\"")] = True
 def _unit_hashes() -> np.ndarray:
     raw = [u.encode() for u in UNITS]
     ends = np.cumsum([len(r) for r in raw])
-    return np.sort(span_hash(prefix_hash(np.frombuffer(b"".join(raw), dtype=np.uint8)), ends - [len(r) for r in raw], ends))
+    return np.sort(span_hash(np.frombuffer(b"".join(raw), dtype=np.uint8), ends - [len(r) for r in raw], ends))
 
 
 UNIT_HASHES = _unit_hashes()
@@ -64,7 +70,7 @@ def template_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     bare = solid[ends] == solid[starts]
     lo = np.where(bare, starts, following[starts])
     hi = np.where(bare, ends, previous[ends - 1] + 1)
-    word = span_hash(prefix_hash(lowered(data)), lo, hi)
+    word = span_hash(lowered(data), lo, hi)
     number = (digits[hi] > digits[lo]) & (data[lo] >= 0x30) & (data[lo] <= 0x39)
     first = np.zeros(len(starts), dtype=bool)
     first[bounds[:-1][np.diff(bounds) > 0]] = True
@@ -81,8 +87,8 @@ def template_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return template, np.where(number | unit | name, word | U64(1), U64(0)), bounds
 
 
-def windows(template: np.ndarray, bounds: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, place) of every window."""
+def windows(template: np.ndarray, value: np.ndarray, bounds: np.ndarray, size: int = WINDOW, plain: int = PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, place) of every window with enough plain words."""
     n = np.maximum(np.diff(bounds) - size + 1, 0)
     owner = np.repeat(np.arange(len(n)), n)
     place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -90,7 +96,9 @@ def windows(template: np.ndarray, bounds: np.ndarray, size: int = WINDOW) -> tup
     h = np.full(len(at), 0x51ED270B, dtype=U64)
     for k in range(size):
         h = mix(h * U64(31) + template[at + k]) if len(at) else h
-    return h, owner, place
+    ordinary = np.concatenate(([0], np.cumsum(value == 0)))
+    enough = ordinary[at + size] - ordinary[at] >= plain
+    return h[enough], owner[enough], place[enough]
 
 
 def template_windows(rows: DataFrame, key: str, wanted: np.ndarray | None = None) -> DataFrame:
@@ -99,7 +107,7 @@ def template_windows(rows: DataFrame, key: str, wanted: np.ndarray | None = None
     def kernel(batch):
         for i, j, data, offsets in per_slice(batch.column(1)):
             template, value, bounds = template_words(data, offsets)
-            h, owner, place = windows(template, bounds)
+            h, owner, place = windows(template, value, bounds)
             if wanted is not None:
                 at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
                 hit = np.flatnonzero(wanted[at] == h) if len(wanted) else np.zeros(0, np.int64)
@@ -115,30 +123,42 @@ def template_windows(rows: DataFrame, key: str, wanted: np.ndarray | None = None
     return on_batches(rows, [key, "text"], kernel, f"{key} long, words long, place long, window long, slots array<long>")
 
 
-def leaks(rows: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistent: float = CONSISTENT, most: int = BROADCAST_WINDOWS) -> DataFrame:
+def leaks(rows: DataFrame, benchmark: DataFrame, work: Work, coverage: float = COVERAGE, consistent: float = CONSISTENT, most: int = BROADCAST_WINDOWS) -> DataFrame:
     """(uid, item_id, covered): the items that leak into a document, and the covered part of their words."""
-    items = benchmark.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    wanted = template_windows(items, "item_id").select("item_id", F.col("words").alias("item_words"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"))
-    known = wanted.select("window").limit(most + 1).count() <= most
-    if known:
+    items = with_uid(benchmark, work, key="item_id").dropDuplicates(["uid"]).select(F.col("uid").alias("item"), F.col("doc_id").alias("item_id"), "text")
+    items = work.save(items, "items")
+    wanted = template_windows(items, "item").select("item", F.col("words").alias("item_words"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"))
+    wanted = work.save(wanted, "wanted")
+    total = wanted.count()
+    if total <= most:
         hashes = np.unique(np.array([r[0] for r in wanted.select("window").distinct().collect()], dtype=np.int64).view(U64))
         hits = template_windows(rows, "uid", hashes).join(F.broadcast(wanted), "window")
     else:
-        hits = template_windows(rows, "uid").join(wanted, "window")
-    hits = hits.withColumn("line", F.col("place") - F.col("item_place"))
-    slots = hits.select("uid", "item_id", "line", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).where("s.item_slots <> 0").select("uid", "item_id", "line", F.col("s.item_slots").alias("slot"), F.col("s.slots").alias("value"))
-    per_slot = slots.groupBy("uid", "item_id", "line", "slot").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    torn = per_slot.groupBy("uid", "item_id", "line").agg(F.avg((F.col("lo") == F.col("hi")).cast("double")).alias("agree")).where(F.col("agree") < consistent).select("uid", "item_id", "line")
-    whole = hits.join(torn, ["uid", "item_id", "line"], "left_anti")
-    covered = whole.select("uid", "item_id", "item_words", F.explode(F.sequence(F.col("item_place"), F.col("item_place") + WINDOW - 1)).alias("word")).groupBy("uid", "item_id", "item_words", "word").agg(F.lit(1).alias("one"))
+        # a window that very many documents have is dealt by salt: its items' windows go to every salt
+        known = template_windows(rows, "uid")
+        often = work.save(known.groupBy("window").agg(F.count("*").alias("n")), "window-counts")
+        hot = work.save(often.where(F.col("n") * HOT > (often.agg(F.sum("n")).first()[0] or 0)).select("window"), "hot-windows")
+        salted = known.join(F.broadcast(hot), "window").withColumn("salt", F.pmod(F.xxhash64("uid", "place"), F.lit(SALTS)).cast("int"))
+        spread = wanted.join(F.broadcast(hot), "window").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = known.join(F.broadcast(hot), "window", "left_anti").join(wanted, "window").unionByName(salted.join(spread, ["window", "salt"]).drop("salt"))
+    hits = work.save(hits.select("uid", "item", "item_words", "item_place", "item_slots", "slots", (F.col("place") - F.col("item_place")).alias("line")), "hits")
+    slots = hits.select("uid", "item", "line", F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).where("s.item_slots <> 0").select("uid", "item", "line", F.col("s.item_slots").alias("slot"), F.col("s.slots").alias("value"))
+    per_slot = slots.groupBy("uid", "item", "line", "slot").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    torn = per_slot.groupBy("uid", "item", "line").agg(F.avg((F.col("lo") == F.col("hi")).cast("double")).alias("agree")).where(F.col("agree") < consistent).select("uid", "item", "line")
+    whole = hits.join(torn, ["uid", "item", "line"], "left_anti")
+    covered = whole.select("uid", "item", "item_words", F.explode(F.sequence(F.col("item_place"), F.col("item_place") + WINDOW - 1)).alias("word")).groupBy("uid", "item", "item_words", "word").agg(F.lit(1).alias("one"))
     rate = F.count("*") / F.col("item_words")
-    return covered.groupBy("uid", "item_id", "item_words").agg(rate.alias("covered")).where(F.col("covered") >= coverage).select("uid", "item_id", "covered")
+    found = covered.groupBy("uid", "item", "item_words").agg(rate.alias("covered")).where(F.col("covered") >= coverage)
+    return found.join(items.select("item", "item_id"), "item").select("uid", "item_id", "covered")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated, n_items, items (ids, comma-joined in order), covered (the largest part) for every row."""
-    rows = with_uid(docs)
-    found = leaks(rows, benchmark, **options).groupBy("uid").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("covered").alias("covered"))
-    out = rows.select("uid", "doc_id").join(found, "uid", "left")
-    n = F.coalesce(F.size("items"), F.lit(0))
-    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.when(F.col("items").isNull(), 0).otherwise(n).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
+    with Work(docs.sparkSession, "decontamination") as work:
+        rows = with_uid(docs, work)
+        ids = F.sort_array(F.collect_set(F.struct("item_id")))
+        found = leaks(rows, benchmark, work, **options).groupBy("uid").agg(ids.alias("items"), F.max("covered").alias("covered"))
+        out = rows.select("uid", "doc_id").join(found, "uid", "left")
+        names = F.array_join(F.transform("items", lambda i: F.coalesce(i["item_id"].cast("string"), F.lit("null"))), ",")
+        n = F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long")
+        return work.keep(out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), n.alias("n_items"), F.coalesce(names, F.lit("")).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("covered")))

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import components, list_array, mix, on_batches, per_slice, saved, shingle_sets, signed, with_uid, word_hashes
+from mnemora.llm.common import HOT, Work, components, groups, hot_keys, list_array, looked_up, mix, on_batches, per_slice, shingle_sets, signed, with_uid, word_hashes
 
 WORDS = 5
 PERCENT = 80
 ROUNDS, BEST_ROUNDS = 1, 2
-CHUNK = 1024
+CHUNK = 512
 BINS = 256
 FLUSH = 2_000_000
 
@@ -123,7 +123,7 @@ def with_shared_prefix(rows: DataFrame) -> DataFrame:
     return met.where("uid is not null and (hits > 0 or met >= 2)").groupBy("uid").agg(F.sum(F.greatest("hits", F.lit(1))).alias("hits"))
 
 
-def ordered_sets(rows: DataFrame) -> DataFrame:
+def ordered_sets(rows: DataFrame, work: Work) -> DataFrame:
     """(id, n, c, g, pos, s): the shared shingles of documents that can still have a partner, in global order.
 
     c is the logarithm of a shingle's document count: the order is c, then the hash.
@@ -134,10 +134,12 @@ def ordered_sets(rows: DataFrame) -> DataFrame:
             h, bounds = _sets(data, offsets)
             yield pa.record_batch([pa.array(signed(_total(mix(h), bounds))), pa.array(np.diff(bounds)), list_array(signed(h), bounds, pa.int64())], names=["id", "n", "grams"])
 
-    sets = saved(on_batches(rows, ["uid", "text"], kernel, "id long, n long, grams array<long>"), "sets")
+    sets = work.save(on_batches(rows, ["uid", "text"], kernel, "id long, n long, grams array<long>"), "sets")
     grams = sets.select("id", "n", F.explode("grams").alias("g"))
-    counted = grams.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2").select("g", F.floor(F.log2("df")).cast("int").alias("c"))
-    shared = grams.join(counted, "g").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("c", "g"))).alias("sorted"))
+    counted = work.save(grams.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2"), "counted")
+    total = counted.agg(F.sum("df")).first()[0] or 0
+    ranked = counted.select("g", F.floor(F.log2("df")).cast("int").alias("c"))
+    shared = looked_up(grams, ranked, "g", counted.where(F.col("df") * HOT > total).select("g")).groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("c", "g"))).alias("sorted"))
     return shared.withColumn("s", F.size("sorted").cast("long")).where("s >= (4 * n + 4) div 5")
 
 
@@ -150,9 +152,9 @@ def _fits(a: str, b: str) -> str:
 class _Comparer:
     """Exact comparison of id pairs, fragment by fragment."""
 
-    def __init__(self, ordered: DataFrame):
+    def __init__(self, ordered: DataFrame, work: Work):
         cell = ordered.select("id", F.posexplode("sorted").alias("pos", "e")).select("id", (F.col("e.c") * 4 + F.shiftrightunsigned("e.g", 62)).cast("int").alias("fragment"), "e.g")
-        self.fragments = saved(cell.groupBy("id", "fragment").agg(F.collect_list("g").alias("grams")), "fragments")
+        self.fragments = work.save(cell.groupBy("id", "fragment").agg(F.collect_list("g").alias("grams")), "fragments")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Of (a, b, na, nb), the pairs that link."""
@@ -163,14 +165,15 @@ class _Comparer:
         return total.where(f"100 * overlap >= {PERCENT} * (na + nb - overlap)").select("a", "b")
 
 
-def linked_classes(ordered: DataFrame, rounds: int = ROUNDS, best_rounds: int = BEST_ROUNDS) -> DataFrame | None:
+def linked_classes(ordered: DataFrame, work: Work, rounds: int = ROUNDS, best_rounds: int = BEST_ROUNDS) -> DataFrame | None:
     """(node, component) over set ids, for sets that link with a different one; None without any."""
-    ordered = saved(ordered, "ordered")
-    compare = _Comparer(ordered)
+    compare = _Comparer(ordered, work)
     front = F.slice("sorted", F.lit(1), (F.col("s") - F.expr("(4 * n + 4) div 5") + 1).cast("int"))
     buckets = ordered.select("id", "n", "s", F.explode(front).alias("e")).select("id", "n", "s", "e.g")
-    many = buckets.groupBy("g").agg(F.count("*").alias("size")).where("size >= 2").select("g")
-    buckets = saved(buckets.join(many, "g"), "buckets")
+    many = work.save(buckets.groupBy("g").agg(F.count("*").alias("size")).where("size >= 2"), "many")
+    total = many.agg(F.sum("size")).first()[0] or 0
+    hot = work.save(many.where(F.col("size") * HOT > total).select("g"), "hot")
+    buckets = work.save(looked_up(buckets, many.select("g"), "g", hot), "buckets")
     edges = label = None
 
     def labelled():
@@ -181,35 +184,39 @@ def linked_classes(ordered: DataFrame, rounds: int = ROUNDS, best_rounds: int =
     def grown(found: DataFrame):
         """Adds the links of these pairs, and tells whether there are any."""
         nonlocal edges, label
-        new = saved(compare.linked(found), "edges")
+        new = work.save(compare.linked(found), "edges")
         if new.isEmpty():
             return False
         edges = new if edges is None else edges.union(new)
-        label = components(edges)
+        label = components(edges, work)
         return True
 
     for turn in range(rounds):
         rows = labelled()
         lead = rows.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("id", "n", "s", "label"), F.xxhash64("id", F.lit(turn))).alias("l")).where("lo <> hi").select("g", "l")
-        near = rows.join(lead, "g").where(f"label <> l.label and {_fits('x', 'l').replace('x.', '')}")
+        near = looked_up(rows, lead, "g", hot).where(f"label <> l.label and {_fits('x', 'l').replace('x.', '')}")
         met = near.groupBy("id", "n", "l").agg(F.count("*").alias("shared"))
         one = met.groupBy("id", "n").agg(F.max_by("l", F.struct("shared", F.xxhash64("l.id", F.lit(turn)))).alias("l"))
         if not grown(one.select(F.col("id").alias("a"), F.col("l.id").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb"))):
             break
-    bins = saved(summaries(ordered), "summaries")
-
-    def mixed() -> DataFrame:
-        """The buckets that hold several components, with the largest of each."""
+    bins = None
+    for left in range(best_rounds, -1, -1):
+        # the buckets that hold several components, with the largest of each
         rows = labelled()
         by_label = rows.groupBy("g", "label").agg(F.count("*").alias("size"))
         main = by_label.groupBy("g").agg(F.sum("size").alias("all"), F.count("*").alias("labels"), F.max_by(F.struct("label", "size"), F.struct("size", "label")).alias("main")).where("labels >= 2")
-        return rows.join(main.select("g", F.col("main.label").alias("main"), (F.col("all") - F.col("main.size")).alias("xs"), "all"), "g").join(bins, "id")
-
-    for _ in range(best_rounds):
-        best = possible_pairs(mixed(), best=True).groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("share", "b")).alias("p"))
-        if not grown(best.select("a", F.col("p.b").alias("b"), "na", F.col("p.nb").alias("nb"))):
+        mixed = work.save(looked_up(rows, main.select("g", F.col("main.label").alias("main"), (F.col("all") - F.col("main.size")).alias("xs"), "all"), "g", hot), "mixed")
+        if mixed.isEmpty():
             break
-    grown(possible_pairs(mixed()).select("a", "b", "na", "nb").distinct())
+        if bins is None:
+            bins = work.save(summaries(ordered.join(mixed.select("id").distinct(), "id", "left_semi")), "summaries")
+        pairs = possible_pairs(mixed.join(bins, "id"), best=left > 0)
+        if left:
+            best = pairs.groupBy("a", "na").agg(F.max_by(F.struct("b", "nb"), F.struct("share", "b")).alias("p"))
+            more = grown(best.select("a", F.col("p.b").alias("b"), "na", F.col("p.nb").alias("nb")))
+        else:
+            more = grown(pairs.select("a", "b", "na", "nb").distinct())
+        work.drop(mixed)
     return label
 
 
@@ -244,38 +251,29 @@ def possible_pairs(mixed: DataFrame, chunk: int = CHUNK, best: bool = False) ->
     y = mixed.select(*columns, F.explode(F.sequence(F.lit(0), xs - 1)).alias("i"), part(ys).alias("j"), F.lit(False).alias("is_x"), (F.col("label") == F.col("main")).alias("in_main"))
     names = ["g", "i", "j", "is_x", "id", "label", "n", "s", "in_main", "bins"]
 
-    def solve(rows):
-        is_x, ids, label, n, s, in_main = (np.array([r[k] for r in rows]) for k in range(3, 9))
-        bins = np.frombuffer(b"".join(r[9] for r in rows), dtype="<u2").reshape(len(rows), BINS)
+    def solve(block):
+        is_x, ids, label, n, s, in_main = (block.column(k).to_numpy(zero_copy_only=False) for k in range(3, 9))
+        wide = np.frombuffer(b"".join(block.column(9).to_pylist()), dtype="<u2").reshape(len(ids), BINS)
         right = np.flatnonzero(~is_x)
+        found = []
         for k in np.flatnonzero(is_x):
             most = np.minimum(s[k], s[right])
             ok = (label[right] != label[k]) & (in_main[right] | (ids[right] > ids[k])) & (100 * most >= PERCENT * (n[k] + n[right] - most))
             near = right[ok]
-            if len(near):
-                most = np.minimum(bins[k], bins[near]).sum(axis=1, dtype=np.int64)
-                share = most / (n[k] + n[near] - most)
-                ok = 100 * most >= PERCENT * (n[k] + n[near] - most)
-                if best and ok.any():
-                    ok = np.flatnonzero(ok)
-                    ok = ok[np.argmax(share[ok]), None]
-                near, share = near[ok], share[ok]
-            if len(near):
-                yield pa.record_batch([pa.array(np.full(len(near), ids[k])), pa.array(ids[near]), pa.array(np.full(len(near), n[k])), pa.array(n[near]), pa.array(share)], names=["a", "b", "na", "nb", "share"])
+            most = np.minimum(wide[k], wide[near]).sum(axis=1, dtype=np.int64)
+            share = most / (n[k] + n[near] - most)
+            ok = np.flatnonzero(100 * most >= PERCENT * (n[k] + n[near] - most))
+            if best and len(ok):
+                ok = ok[np.argmax(share[ok]), None]
+            if len(ok):
+                found.append((np.full(len(ok), k), near[ok], share[ok]))
+        if found:
+            a, b, share = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.record_batch([pa.array(c) for c in (ids[a], ids[b], n[a], n[b], share)], names=["a", "b", "na", "nb", "share"])
 
     def run(batches):
-        task, rows, out = None, [], []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if row[:3] != task:
-                    out += solve(rows) if rows else []
-                    task, rows = row[:3], []
-                rows.append(row)
-            if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-                out = []
-        if rows:
-            yield from solve(rows)
+        for block in groups(batches, 3):
+            yield from solve(block)
 
     dealt = x.unionByName(y).repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     return dealt.select(*names).mapInArrow(run, "a long, b long, na long, nb long, share double")
@@ -283,19 +281,26 @@ def possible_pairs(mixed: DataFrame, chunk: int = CHUNK, best: bool = False) ->
 
 def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    rows = with_uid(docs)
-    sets = saved(signatures(rows), "signatures")
+    with Work(docs.sparkSession, "ngram-join") as work:
+        return work.keep(_joined(with_uid(docs, work), work).drop("uid"))
+
+
+def _joined(rows: DataFrame, work: Work) -> DataFrame:
+    sets = work.save(signatures(rows), "signatures")
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"), F.min_by("doc_id", "uid").alias("smallest"))
-    classes = saved(classes, "classes")
+    classes = work.save(classes, "classes")
     hits = with_shared_prefix(rows)
     able = classes.join(hits, "uid").where("hits >= 1 + ((4 * n + 4) div 5) div 10").select("uid")
-    able = saved(able, "able")
-    label = linked_classes(ordered_sets(rows.join(able, "uid", "left_semi")))
+    able = work.save(able, "able")
+    ordered = work.save(ordered_sets(rows.join(able, "uid", "left_semi"), work), "ordered")
+    label = linked_classes(ordered, work)
     if label is not None:
         named = classes.join(label.withColumnRenamed("node", "s1"), "s1", "left").withColumn("component", F.coalesce("component", "s1"))
         least = named.groupBy("component").agg(F.min_by("smallest", "uid").alias("component_id"))
-        classes = named.join(least, "component").select("s1", "s2", "n", "component_id")
+        total = classes.count()
+        linked = looked_up(named, least, "component", hot_keys(named, "component", total))
+        classes = linked.select("s1", "s2", "n", "component_id")
     else:
         classes = classes.select("s1", "s2", "n", F.col("smallest").alias("component_id"))
     found = sets.join(classes.withColumn("known", F.lit(True)), ["s1", "s2", "n"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -5,7 +5,8 @@ document. The trees are fitted in numpy on a bounded sample of labelled training
 most, taken by a hash of doc_id) and flattened into arrays, so scoring is a gather per tree level.
 
 Null texts count as empty; documents without words get a score as well; repeated rows are scored
-each; labels are reduced to one per doc_id (the largest); other columns are ignored. With no label or
+each; a null doc_id is no held-out row and has no label; labels are reduced to one per doc_id (the largest); other
+columns are ignored; an empty table gives no rows. With no label or
 only one class in the sample the score is the smoothed rate of label 1.
 """
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import crc_bucket, on_batches, per_slice, saved, shingle_sets, span_hash, prefix_hash, lowered, word_spans
+from mnemora.llm.common import Work, crc_bucket, on_batches, per_slice, shingle_sets, span_hash, lowered, word_spans
 
 SAMPLE = 20_000
 FOLDS = 5
@@ -68,8 +69,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, docs = word_spans(low, offsets)
     owner = np.repeat(np.arange(n), np.diff(docs))
     words = np.maximum(np.diff(docs), 1).astype(float)
-    prefix = prefix_hash(low)
-    keys = span_hash(prefix, starts, ends)
+    keys = span_hash(low, starts, ends)
     length = ends - starts
     out["bytes"] = np.log1p(np.diff(offsets))
     out["words"] = np.log1p(np.diff(docs))
@@ -107,7 +107,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lines = np.maximum(np.bincount(line_owner, minlength=n), 1).astype(float)
     line_size = line_end - edge
     out["lines"] = np.log1p(lines)
-    out["line_distinct"] = _distinct(line_owner, span_hash(prefix, edge, line_end), n)[0] / lines
+    out["line_distinct"] = _distinct(line_owner, span_hash(low, edge, line_end), n)[0] / lines
     out["line_mean"] = np.log1p(np.bincount(line_owner, weights=line_size, minlength=n) / lines)
     out["line_short"] = np.bincount(line_owner, weights=line_size < 20, minlength=n) / lines
     line_max = np.zeros(n)
@@ -197,23 +197,24 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, ra
 
 def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, threshold: float = THRESHOLD, keyed: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; where `keyed`, also row, the hash of its text."""
-    stats = saved(statistics_table(docs), "doc-statistics")
-    known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    known = known.where(crc_bucket(F.col("doc_id"), folds) != 0)
-    known = saved(known, "known-labels")
-    share = min(1.0, sample / max(known.count(), 1))  # of all labels: about `sample` rows at most come to the driver
-    few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
-    chosen = stats.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
-    x = np.stack(chosen["x"].to_numpy()) if len(chosen) else np.zeros((0, len(FEATURES)), np.float32)
-    # cuts are halves of float32 values, so training and scoring see the same side
-    model = fit(x.astype(np.float64), (chosen["quality"].to_numpy(dtype=float) >= 1).astype(float))
-
-    def kernel(batch):
-        for lo in range(0, batch.num_rows, 4096):
-            part = batch.slice(lo, 4096)
-            rows = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(model.score(rows))], names=["doc_id", "row", "score"])
-
-    scored = on_batches(stats, ["doc_id", "row", "x"], kernel, "doc_id long, row long, score double")
-    held_out = F.coalesce(crc_bucket(F.col("doc_id"), folds) == 0, F.lit(False))
-    return scored.select("doc_id", *["row"] * keyed, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    with Work(docs.sparkSession, "quality") as work:
+        stats = work.save(statistics_table(docs), "statistics")
+        known = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+        known = work.save(known.where(crc_bucket(F.col("doc_id"), folds) != 0), "labels")
+        share = min(1.0, sample / max(known.count(), 1))  # of all labels: about `sample` rows at most come to the driver
+        few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
+        chosen = stats.join(F.broadcast(few), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id", kind="stable")
+        x = np.stack(chosen["x"].to_numpy()) if len(chosen) else np.zeros((0, len(FEATURES)), np.float32)
+        # cuts are halves of float32 values, so training and scoring see the same side
+        model = fit(x.astype(np.float64), (chosen["quality"].to_numpy(dtype=float) >= 1).astype(float))
+
+        def kernel(batch):
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                rows = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(model.score(rows))], names=["doc_id", "row", "score"])
+
+        scored = on_batches(stats, ["doc_id", "row", "x"], kernel, "doc_id long, row long, score double")
+        held_out = F.coalesce(crc_bucket(F.col("doc_id"), folds) == 0, F.lit(False))
+        out = scored.select("doc_id", *["row"] * keyed, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        return work.keep(out)

@@ -7,8 +7,8 @@ a copy, since batch and row follow from the position by division. The index tabl
 document's ids lie. Shards are written under a name of the attempt's own and then renamed, so a task
 that runs again after a lost executor leaves one whole file.
 
-Null texts count as empty (they hold the end id alone), a null doc_id sorts first, equal doc_ids
-sort by text, repeated rows are kept, other columns are ignored, and an empty table gives no file.
+Null texts count as empty (they hold the end id alone), a null doc_id sorts first, rows of one doc_id
+are in order of a hash of the text, repeated rows are kept, other columns are ignored, and an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -140,7 +140,9 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, seq_len: in
                 yield pa.record_batch([pa.array(np.full(len(n), shard), type=pa.int32()), pa.array([name] * len(n)), pa.array(n), doc_id.cast(pa.int64()), pa.array(place), pa.array(size)], names=["shard", "file", "nth", "doc_id", "place", "n_tokens"])
 
     text = F.coalesce("text", F.lit("")).alias("text")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("hash"), F.spark_partition_id().alias("part"))
+    # rows of one doc_id, null too, and repeated rows are no single task's: the ranges part them as well
+    dealt = rows.repartitionByRange("doc_id", "hash", "part").sortWithinPartitions("doc_id", "hash", "part").select("doc_id", "text")
     return saved(dealt.mapInArrow(write, schema), "token-index")
 
 
@@ -154,7 +156,7 @@ def read_token_shards(index: DataFrame, folder: str, seq_len: int = SEQ_LEN) ->
     def read(batches):
         reader, name = None, None
         for batch in batches:
-            rows = batch.to_pydict()
+            rows = {c: batch.column(c).to_pylist() for c in ("file", "place", "n_tokens", "base")}
             crc = np.zeros(batch.num_rows, dtype=np.int64)
             for k, (file, place, size) in enumerate(zip(rows["file"], rows["place"], rows["n_tokens"], strict=True)):
                 if file != name:

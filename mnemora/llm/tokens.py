@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 from tokenizers import Tokenizer
 
-from mnemora.llm.common import prefix_hash, ragged, span_hash
+from mnemora.llm.common import ragged, span_hash
 
 MARK = " \x01"
 CACHED = 2_000_000
@@ -64,7 +64,7 @@ class SegmentEncoder:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
         starts = self._cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        keys = span_hash(prefix_hash(data), starts, ends)
+        keys = span_hash(data, starts, ends)
         unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, unique), max(len(self.keys) - 1, 0))
         missing = np.flatnonzero(self.keys[at] != unique) if len(self.keys) else np.arange(len(unique))

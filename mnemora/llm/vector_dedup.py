@@ -4,15 +4,17 @@ Unit vectors at cosine c lie 2 - 2c apart (squared). A fixed rotation spreads th
 the rotated vector is cut into BLOCKS blocks and each block gets the part of the squared-distance
 budget that its dimensions have of all. Near vectors then keep the budget in one block at least, so
 the union of the blocks' range joins holds all of them. A block's range join puts vectors into cells
-of its first two axes, with copies to the neighbouring cells that the radius reaches; cells of very many
-vectors are dealt as pairs of chunks. Candidates are verified by their cosine in double precision; a
+of its first two axes (of its one axis where it has no second), with copies to the neighbouring cells that the
+radius reaches; cells of very many vectors are dealt as pairs of chunks. Within a task a third axis is
+sorted, and a vector meets only those within the radius on it. Candidates are verified by their cosine in double precision; a
 pair counts in the first block that holds it, so its links are counted once. A task returns a count
 and one tree link per vector, never the pairs.
 
 Equal vectors of a label are one class with a weight. Vectors that are null, zero or hold null or
 non-finite components, and those without label, link with nothing; vectors of other lengths are never
-compared; repeated rows count as copies; a null vec_id is left out of the minima; other columns are
-ignored; an empty table gives no rows.
+compared; rows of one vec_id count as vectors of their own, repeated rows as copies; a null vec_id is left out
+of the minima (a component of none but null ids has a null component_id, and its rows are kept); other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import components, on_batches, saved
+from mnemora.llm.common import Work, components, groups, hot_keys, looked_up, on_batches
 
 COSINE = 0.98
 BLOCKS = 8
@@ -72,6 +74,8 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
 
 
 def matrix(raws: list[bytes], dims: int) -> np.ndarray:
+    if all(len(r) == 4 * dims for r in raws):
+        return np.frombuffer(b"".join(raws), dtype=np.float32).reshape(-1, dims).astype(np.float64)
     return np.stack([np.frombuffer(r, dtype=np.float32 if len(r) == 4 * dims else np.float64).astype(np.float64) for r in raws])
 
 
@@ -91,10 +95,11 @@ def cell_rows(classes: DataFrame, cosine: float) -> DataFrame:
             for lo in range(0, part.num_rows, 2000):
                 rows = part.slice(lo, 2000)
                 turned = unit(matrix(rows.column(4).to_pylist(), d)) @ rotation(int(d))
-                for b, (edge, budget) in enumerate(zip(block_edges(int(d))[:-1], budgets(int(d), cosine), strict=True)):
+                edges = block_edges(int(d))
+                for b, (edge, end, budget) in enumerate(zip(edges[:-1], edges[1:], budgets(int(d), cosine), strict=True)):
                     radius = float(np.sqrt(budget))
                     side = 2 * radius
-                    at = turned[:, edge : edge + 2] / side
+                    at = turned[:, edge : min(edge + 2, end)] / side
                     if at.shape[1] < 2:
                         at = np.concatenate([at, np.zeros_like(at)], axis=1)
                     cell = np.floor(at).astype(np.int64)
@@ -120,20 +125,24 @@ def compare(block: int, dims: int, raws, home, part, i: int, j: int, cosine: flo
     norm = unit(plain)
     turned = norm @ rotation(dims)
     edges, budget = block_edges(dims), budgets(dims, cosine)
-    left = np.flatnonzero(part == i)
-    right = left if i == j else np.flatnonzero(part == j)
-    found = []
     cut = slice(edges[block], edges[block + 1])
     xs = turned[:, cut]
     sq = np.einsum("ij,ij->i", xs, xs)
-    for lo in range(0, len(left), 512):
-        rows = left[lo : lo + 512]
-        near = sq[rows][:, None] + sq[right][None, :] - 2 * (xs[rows] @ xs[right].T) <= budget[block] + SLACK
-        near &= home[rows][:, None] | home[right][None, :]
+    # in order of the block's last axis only a strip of the others is within the radius
+    axis, radius = xs[:, -1], np.sqrt(budget[block]) + SLACK
+    order = np.argsort(axis, kind="stable")
+    left = order[part[order] == i]
+    right = left if i == j else order[part[order] == j]
+    found = []
+    for lo in range(0, len(left), 256):
+        rows = left[lo : lo + 256]
+        strip = right[np.searchsorted(axis[right], axis[rows[0]] - radius) : np.searchsorted(axis[right], axis[rows[-1]] + radius, side="right")]
+        near = sq[rows][:, None] + sq[strip][None, :] - 2 * (xs[rows] @ xs[strip].T) <= budget[block] + SLACK
+        near &= home[rows][:, None] | home[strip][None, :]
         if i == j:
-            near &= rows[:, None] < right[None, :]
+            near &= rows[:, None] < strip[None, :]
         u, v = np.nonzero(near)
-        found.append((rows[u], right[v]))
+        found.append((rows[u], strip[v]))
     u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
     keep_u, keep_v = [], []
     for lo in range(0, len(u), 100_000):
@@ -159,10 +168,11 @@ def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return label
 
 
-def links(classes: DataFrame, cosine: float, chunk: int) -> DataFrame:
+def links(classes: DataFrame, work: Work, cosine: float, chunk: int) -> DataFrame:
     """(cid, links, root): weighted links found in a task, and a tree link to a vector of the same component."""
     cells = cell_rows(classes, cosine)
     key = ["label", "dims", "block", "x", "y"]
+    # few cells have more than `chunk` vectors: fewer than the vectors' cells divided by it
     large = cells.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > chunk)
     parts = cells.join(large, key, "left").withColumn("k", F.coalesce(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int"))
     parts = parts.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
@@ -170,10 +180,10 @@ def links(classes: DataFrame, cosine: float, chunk: int) -> DataFrame:
     dealt = parts.select(*key, "home", "cid", "weight", "raw", "part", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
     names = [*key, "i", "j"]
 
-    def solve(task, rows):
-        cid = np.array([r[0] for r in rows], dtype=np.int64)
-        weight = np.array([r[1] for r in rows], dtype=np.int64)
-        u, v = compare(task[2], task[1], [r[2] for r in rows], np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), task[5], task[6], cosine)
+    def solve(rows):
+        _, dims, block, _, _, i, j = (rows.column(k)[0].as_py() for k in range(7))
+        cid, weight, home, part = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("cid", "weight", "home", "part"))
+        u, v = compare(block, dims, rows.column("raw").to_pylist(), home, part, i, j, cosine)
         if not len(u):
             return None
         count = np.bincount(u, weights=weight[v], minlength=len(cid)) + np.bincount(v, weights=weight[u], minlength=len(cid))
@@ -182,31 +192,28 @@ def links(classes: DataFrame, cosine: float, chunk: int) -> DataFrame:
         return pa.record_batch([pa.array(cid[at]), pa.array(count[at].astype(np.int64)), pa.array(cid[root[at]])], names=["cid", "links", "root"])
 
     def run(batches):
-        task, rows = None, []
-        for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in [*names, "cid", "weight", "raw", "home", "part"]]
-            for row in zip(*columns, strict=True):
-                if row[:7] != task:
-                    if len(rows) > 1 and (out := solve(task, rows)):
-                        yield out
-                    task, rows = row[:7], []
-                rows.append(row[7:])
-        if len(rows) > 1 and (out := solve(task, rows)):
-            yield out
+        for rows in groups(batches, 7):
+            if rows.num_rows > 1 and (out := solve(rows)):
+                yield out
 
+    dealt = dealt.select(*names, "cid", "weight", "raw", "home", "part")
     return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "cid long, links long, root long")
 
 
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows = saved(vector_classes(vectors), "vectors")
-    classes = saved(rows.where("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("raw").alias("raw"), F.count("*").alias("weight"), F.min("vec_id").alias("smallest")), "classes")
-    found = saved(links(classes, cosine, chunk), "vector-links")
-    count = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    label = components(found, "cid", "root").withColumnRenamed("node", "cid")
-    named = classes.select("cid", "weight", "smallest").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    per_class = named.join(least, "component").join(count, "cid", "left").select("cid", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "cid").join(per_class, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    with Work(vectors.sparkSession, "vector-dedup") as work:
+        rows = work.save(vector_classes(vectors), "vectors")
+        classes = work.save(rows.where("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("raw").alias("raw"), F.count("*").alias("weight"), F.min("vec_id").alias("smallest")), "classes")
+        found = work.save(links(classes, work, cosine, chunk), "links")
+        count = found.groupBy("cid").agg(F.sum("links").alias("links"))
+        label = components(found, work, "cid", "root").withColumnRenamed("node", "cid")
+        named = work.save(classes.select("cid", "weight", "smallest").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "named")
+        least = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
+        member = looked_up(named, least, "component", hot_keys(named, "component", named.count()))
+        per_class = member.join(count, "cid", "left").select("cid", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+        some = rows.select("vec_id", "cid").where("cid is not null")
+        joined = looked_up(some, per_class, "cid", hot_keys(some, "cid", some.count())).select("vec_id", "n_links", "component_id")
+        alone = rows.where("cid is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        out = joined.unionByName(alone)
+        return work.keep(out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")))

@@ -2,9 +2,8 @@
 skippable frame.
 
 Writing: records of equal payload digest are one group, found by a map-side combined maximum of
-page_id; the row with the largest page_id becomes the response, the others revisit it. The join back
-to the rows is an ordinary sort-merge join, which adaptive execution may split where one payload is
-very common. Reading: the dictionary frame is loaded, then one frame per record is decoded; the
+page_id; the row with the largest page_id becomes the response, the others revisit it. Back at the rows,
+the digests of very common payloads (a bounded number) are broadcast, the others joined by a shuffle. Reading: the dictionary frame is loaded, then one frame per record is decoded; the
 version line, the required headers, the content length, the closing blank lines and a response's
 digest are validated, and a faulty archive raises WarcError.
 
@@ -27,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import saved, scratch
+from mnemora.llm.common import HOT, looked_up, saved, scratch
 
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -184,8 +183,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
     """Writes one archive per task and returns (file, records)."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    newest = rows.groupBy("digest").agg(F.max("page_id").alias("newest")).withColumnRenamed("digest", "of")
-    grouped = rows.join(newest, F.col("digest") == F.col("of")).select("page_id", "url", "html", "newest")
+    newest = rows.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))
+    hot = newest.where(F.col("n") * HOT > F.lit(pages.count())).select("digest")
+    grouped = looked_up(rows, newest.drop("n"), "digest", hot).select("page_id", "url", "html", "newest")
 
     def write(batches):
         writer = None
