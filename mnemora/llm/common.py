@@ -276,19 +276,21 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBa
 
 # --- linked groups -----------------------------------------------------------------------------
 
-HOT = 1000
+HOT, MANY = 1000, 100_000  # fewer rows than MANY / HOT are a key of no weight
 
 
-def hot_keys(rows: DataFrame, key: str, total: int, hot: int = HOT) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, total: int, hot: int = HOT) -> list:
     """The keys that more than 1/hot of the rows have: fewer than `hot` ones, whatever the input."""
-    return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * hot > total).select(key)
+    return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * hot > max(total, MANY)).select(key).collect()]
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Inner join on key, which is unique in `table`. The hot keys, a bounded number, meet their rows by a
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
+    """Inner join on key, which is unique in `table`. The rows of hot keys, a bounded number, meet the table's by a
     broadcast, so no key's rows are shuffled into one task; the other rows are shuffled."""
-    hot = F.broadcast(hot)
-    return rows.join(hot, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(table.join(hot, key)), key))
+    if not hot:
+        return rows.join(table, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(table.where(~is_hot), key).unionByName(rows.where(is_hot).join(F.broadcast(table.where(is_hot)), key))
 
 
 def components(edges: DataFrame, work: Work, a: str = "a", b: str = "b") -> DataFrame:
@@ -299,7 +301,7 @@ def components(edges: DataFrame, work: Work, a: str = "a", b: str = "b") -> Data
     """
     links = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     links = work.save(links.union(links.select("b", "a")).distinct(), "links")
-    hubs = work.save(hot_keys(links, "b", links.count()), "hubs")
+    hubs = hot_keys(links, "b", links.count())
     label = links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
     label = work.save(label, "label")
     total = label.count()
@@ -313,7 +315,7 @@ def components(edges: DataFrame, work: Work, a: str = "a", b: str = "b") -> Data
         work.drop(label, hooked)
         label = jumped
         if jumped.where("component <> old").isEmpty():
-            work.drop(links, hubs)
+            work.drop(links)
             return jumped.select("node", "component")
         label = jumped.select("node", "component")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import HOT, Work, components, groups, hot_keys, list_array, looked_up, mix, on_batches, per_slice, shingle_sets, signed, with_uid, word_hashes
+from mnemora.llm.common import HOT, MANY, Work, components, groups, hot_keys, list_array, looked_up, mix, on_batches, per_slice, shingle_sets, signed, with_uid, word_hashes
 
 WORDS = 5
 PERCENT = 80
@@ -137,12 +137,18 @@ def ordered_sets(rows: DataFrame, work: Work) -> DataFrame:
     sets = work.save(on_batches(rows, ["uid", "text"], kernel, "id long, n long, grams array<long>"), "sets")
     grams = sets.select("id", "n", F.explode("grams").alias("g"))
     counted = work.save(grams.groupBy("g").agg(F.count("*").alias("df")).where("df >= 2"), "counted")
-    total = counted.agg(F.sum("df")).first()[0] or 0
+    hot = hot_counts(counted, "df")
     ranked = counted.select("g", F.floor(F.log2("df")).cast("int").alias("c"))
-    shared = looked_up(grams, ranked, "g", counted.where(F.col("df") * HOT > total).select("g")).groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("c", "g"))).alias("sorted"))
+    shared = looked_up(grams, ranked, "g", hot).groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("c", "g"))).alias("sorted"))
     return shared.withColumn("s", F.size("sorted").cast("long")).where("s >= (4 * n + 4) div 5")
 
 
+def hot_counts(counted: DataFrame, size: str) -> list:
+    """The shingles that hold more than 1/HOT of the rows, of their counts: fewer than HOT."""
+    total = counted.agg(F.sum(size)).first()[0] or 0
+    return [r.g for r in counted.where(F.col(size) * HOT > max(total, MANY)).select("g").collect()]
+
+
 def _fits(a: str, b: str) -> str:
     """Whether sets of these sizes and shared sizes could reach the threshold."""
     most = f"least({a}.s, {b}.s)"
@@ -171,8 +177,7 @@ def linked_classes(ordered: DataFrame, work: Work, rounds: int = ROUNDS, best_ro
     front = F.slice("sorted", F.lit(1), (F.col("s") - F.expr("(4 * n + 4) div 5") + 1).cast("int"))
     buckets = ordered.select("id", "n", "s", F.explode(front).alias("e")).select("id", "n", "s", "e.g")
     many = work.save(buckets.groupBy("g").agg(F.count("*").alias("size")).where("size >= 2"), "many")
-    total = many.agg(F.sum("size")).first()[0] or 0
-    hot = work.save(many.where(F.col("size") * HOT > total).select("g"), "hot")
+    hot = hot_counts(many, "size")
     buckets = work.save(looked_up(buckets, many.select("g"), "g", hot), "buckets")
     edges = label = None
 

@@ -240,7 +240,7 @@ def find_pii(docs: DataFrame, work: Work, **thresholds) -> DataFrame:
     found = work.save(scan(once), "scan")
     telling = work.save(telling_terms(once, found, work, **thresholds), "telling")
     span = F.struct("start", F.lit(4).alias("kind"), "end", "removed")
-    words = places(once, telling, byte_pairs(once))
+    words = work.save(places(once, telling, byte_pairs(once)), "words")
     named = words.where("term is not null").join(telling, "term").unionByName(words.where("term is null").withColumn("removed", F.lit(True)))
     terms = named.groupBy("doc_id", "row", "start", "end").agg(F.max("removed").alias("removed")).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(span)).alias("terms")).select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "terms")
     none = F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")

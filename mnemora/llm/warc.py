@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.common import HOT, looked_up, saved, scratch
+from mnemora.llm.common import HOT, MANY, looked_up, saved, scratch
 
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -184,7 +184,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = MIN_R
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     newest = rows.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n"))
-    hot = newest.where(F.col("n") * HOT > F.lit(pages.count())).select("digest")
+    total = pages.count()
+    hot = [r.digest for r in newest.where(F.col("n") * HOT > max(total, MANY)).select("digest").collect()]
     grouped = looked_up(rows, newest.drop("n"), "digest", hot).select("page_id", "url", "html", "newest")
 
     def write(batches):
