@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemora.functions.text import bounded_terms, light_stem
+from mnemora.functions.text import bounded_terms, light_stem, stem
 from mnemora.functions.times import proximity
 from mnemora.operators.knn import MIN_SCORE, POOL, nearest
 from mnemora.operators.scope import TenantScope, active, scoped
+from mnemora.sources.scratch import written
 
 KEYWORD_POOL, MIN_KEYWORD, TEMPORAL_LIMIT = 100, 0.1, 50
 
@@ -63,24 +64,46 @@ def keyword_signal(memories: DataFrame, query: str, scope: TenantScope, limit: i
     parsed = parse_query(query)
     if not parsed["must"]:
         return memories.select("memory_id", F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("score")).limit(0)
-    words = F.transform(F.filter(F.split(F.regexp_replace(F.lower("content"), r"[^a-z0-9_]+", " "), " "), lambda w: F.length(w) > 0), light_stem)
-    rows = active(scoped(memories, scope)).select("memory_id", words.alias("words"))
-    rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    items = [item for choices in parsed["must"] for item in choices]
+    rows = active(scoped(memories, scope)).select("memory_id", F.concat(F.lit(" "), F.regexp_replace(F.lower("content"), r"[^a-z0-9_]+", " "), F.lit(" ")).alias("line"))
+    # a word begins with its stem, so a text without the stems as such can't match: most texts end here
+    for choices in parsed["must"]:
+        hit = F.lit(False)
+        for item in choices:
+            together = F.lit(True)
+            for w in item:
+                together = together & F.contains(F.col("line"), F.lit(" " + stem(w)))
+            hit = hit | together
+        rows = rows.where(hit)
+    asked = sorted({stem(w) for item in items for w in item})
 
-    def stemmed(item: list[str]):
-        return F.concat(F.lit(" "), F.array_join(F.transform(F.array(*map(F.lit, item)), light_stem), " "), F.lit(" "))
+    def forms(w: str):
+        """How often the words of one stem occur; only words that begin with it are stemmed."""
+        return F.size(F.filter(F.regexp_extract_all("line", F.lit(rf"(?<= )({w}(?:ing|ed|es|s)?)(?= )"), 1), lambda x: light_stem(x) == w))
+
+    phrases = any(len(i) > 1 for i in [*items, *parsed["banned"]])
+    stemmed = F.array_join(F.transform(F.split(F.trim("line"), " +"), light_stem), " ") if phrases else F.lit("")
+    n = F.when(F.trim("line") == "", 0).otherwise(F.size(F.split(F.trim("line"), " +"))).cast("double")
+    banned_words = sorted({stem(i[0]) for i in parsed["banned"] if len(i) == 1})
+    counts = {f"tf{k}": forms(w) for k, w in enumerate(asked)} | {f"no{k}": forms(w) for k, w in enumerate(banned_words)}
+    # what the filters and the rank both ask for is computed once
+    found = written(rows.select("memory_id", F.concat(F.lit(" "), stemmed, F.lit(" ")).alias("stems"), n.alias("n"), *[c.alias(k) for k, c in counts.items()]), "keyword")
+    tf = {w: F.col(f"tf{k}") for k, w in enumerate(asked)}
+
+    def occurs(item: list[str]):
+        return tf[stem(item[0])] > 0 if len(item) == 1 else F.contains(F.col("stems"), F.lit(f" {' '.join(map(stem, item))} "))
 
     for choices in parsed["must"]:
         hit = F.lit(False)
         for item in choices:
-            hit = hit | F.contains(F.col("line"), stemmed(item))
-        rows = rows.where(hit)
+            hit = hit | occurs(item)
+        found = found.where(hit)
     for item in parsed["banned"]:
-        rows = rows.where(~F.contains(F.col("line"), stemmed(item)))
-    asked = F.array_distinct(F.transform(F.array(*[F.lit(w) for choices in parsed["must"] for item in choices for w in item]), light_stem))
-    tf = lambda w: F.size(F.filter("words", lambda x: x == w))
-    weight = F.aggregate(asked, F.lit(0.0), lambda s, w: s + tf(w) / (tf(w) + 1))
-    rows = rows.select("memory_id", (weight / (1 + F.log1p(F.size("words").cast("double")))).alias("raw"))
+        found = found.where(F.col(f"no{banned_words.index(stem(item[0]))}") == 0 if len(item) == 1 else ~F.contains(F.col("stems"), F.lit(f" {' '.join(map(stem, item))} ")))
+    weight = F.lit(0.0)
+    for c in dict.fromkeys(stem(w) for item in items for w in item):
+        weight = weight + tf[c] / (tf[c] + 1)
+    rows = found.select("memory_id", (weight / (1 + F.log1p("n"))).alias("raw"))
     top = rows.orderBy(F.desc("raw"), "memory_id").limit(pool)
     scored = ranked(top, F.desc("raw"), "memory_id").withColumn("score", F.col("raw") / F.max("raw").over(W.partitionBy()))
     return scored.where(F.col("score") >= least).orderBy("rank").limit(limit).select("memory_id", "rank", "score")

@@ -155,11 +155,11 @@ def provenance_first_source(spark, sf_dir):
     return G.first_source(rows, T.chunk_memories(spark, sf_dir), T.chunks(spark, sf_dir), T.sources(spark, sf_dir))
 
 
-@query("late_source_text", origin("select memory_id, source_id, length(content) as n from (select memory_id, memory_id // 2 as source_id from seen order by memory_id limit 20) join sources using (source_id)"))
+@query("late_source_text", origin("select memory_id, source_id, length(content) as n from (select memory_id, memory_id // 2 as source_id from seen) join sources using (source_id)"))
 def late_source_text(spark, sf_dir):
     from mnemora.operators.scope import active, scoped
 
-    top = active(scoped(T.memories(spark, sf_dir), T.SCOPE)).orderBy("memory_id").limit(20).select("memory_id", F.floor(F.col("memory_id") / 2).alias("source_id"))
+    top = active(scoped(T.memories(spark, sf_dir), T.SCOPE)).select("memory_id", F.floor(F.col("memory_id") / 2).alias("source_id"))
     return G.with_source_text(top, T.sources(spark, sf_dir)).select("memory_id", "source_id", F.length("content").cast("long").alias("n"))
 
 

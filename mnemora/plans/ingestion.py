@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.fuzzy import token_sort_ratio_column
 from mnemora.functions.text import casefold, format_messages
-from mnemora.functions.times import infer_event_date, parse_iso
+from mnemora.functions.times import WEEKDAYS, infer_event_date, parse_iso
 from mnemora.operators import ingestion as I
 from mnemora.plans import tables as T
+from mnemora.sources.scratch import written
 
 QUERIES, ORACLE_SQL = {}, {}
 TYPES = ["fact", "preference", "event"]
@@ -62,10 +63,9 @@ def chunk_sources(spark, sf_dir):
     return I.chunk_sources(d.unionByName(talks))
 
 
-@query("oversized_sources", "select doc_id as source_id, length(text) as chunks, 'too_many_chunks' as reason from documents where length(text) > 20000")
+@query("oversized_sources", T.oracle(T.CHUNKS)("select source_id, count(*) as chunks, 'too_many_chunks' as reason from chunks group by 1 having count(*) > 3"))
 def oversized_sources(spark, sf_dir):
-    d = T.table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("source_id"), F.explode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))).alias("sequence"))
-    return I.oversized(d, 20000)
+    return I.oversized(T.chunks(spark, sf_dir), 3)
 
 
 # raw extractions: conversation turns stand for what a model extracted from a chunk
@@ -74,16 +74,16 @@ def oversized_sources(spark, sf_dir):
 def _raw(spark, sf_dir):
     c = T.table(spark, sf_dir, "conversations")
     n = F.col("conv_id") + F.col("turn")
-    words = F.slice(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), " "), F.lit(1), (n % 6 + 1).cast("int"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
     return c.select(
-        (F.col("conv_id") % 20).alias("source_id"), F.col("conv_id").alias("chunk"), F.col("turn").alias("idx"), F.array_join(words, " ").alias("content"),
+        (F.col("conv_id") % 20).alias("source_id"), F.col("conv_id").alias("chunk"), F.col("turn").alias("idx"), text.alias("content"),
         F.when(n % 11 == 0, "opinion").when(n % 3 == 0, "event").otherwise("fact").alias("memory_type"),
         F.when(n % 13 == 0, "narrator").when(n % 2 == 0, F.col("role")).alias("speaker_role"), ((n % 12) / 10).alias("importance_score"),
         F.when(n % 4 == 0, F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit(" 10:00:00"))).alias("event_time"),
     )
 
 
-RAW = r"""raw as (select conv_id % 20 as source_id, conv_id as chunk, turn as idx, array_to_string(list_slice(string_split(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' '), 1, (conv_id + turn) % 6 + 1), ' ') as content,
+RAW = r"""raw as (select conv_id % 20 as source_id, conv_id as chunk, turn as idx, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') as content,
   case when (conv_id + turn) % 11 = 0 then 'opinion' when (conv_id + turn) % 3 = 0 then 'event' else 'fact' end as memory_type, case when (conv_id + turn) % 13 = 0 then 'narrator' when (conv_id + turn) % 2 = 0 then role end as speaker_role,
   ((conv_id + turn) % 12) / 10.0 as importance_score, case when (conv_id + turn) % 4 = 0 then make_timestamp(2024, 1, (conv_id + turn) % 28 + 1, 10, 0, 0) end as event_time from conversations),
 judged as (select *, trim(content) as text, case when trim(content) = '' or len(string_split(trim(content), ' ')) < 3 then 'low_signal_content' when memory_type not in ('fact', 'preference', 'event') then 'invalid_memory_type'
@@ -104,7 +104,7 @@ def drop_reasons(spark, sf_dir):
 
 def _graph(spark, sf_dir):
     """Facts joined with a graph result each: two names and a relation made from the numbers of the fact."""
-    facts = I.normalize_facts(_raw(spark, sf_dir), TYPES)[0]
+    facts = written(I.normalize_facts(_raw(spark, sf_dir), TYPES)[0], "facts")
     raw, k = _raw(spark, sf_dir), F.col("chunk") * 7 + F.col("idx")
     name = lambda n: F.concat(F.lit("Supplier#"), F.lpad(n.cast("string"), 9, "0"))
     entity = lambda n, kind: F.struct(n.alias("name"), F.lit(kind).alias("entity_type"))
@@ -113,7 +113,7 @@ def _graph(spark, sf_dir):
     relations = F.array(relation(name(k % 12), "works-for", name(k % 12 + 1), (k % 10) / 10), relation(name(k % 12), "likes", F.upper(name(k % 12)), F.lit(0.9)), relation(name(k % 12), "part of", F.concat(F.lit("gadget "), (k % 5).cast("string")), F.lit(0.8)))
     graphs = raw.select("source_id", "chunk", F.lit(0).alias("pos"), F.col("idx").alias("index"), entities.alias("entities"), relations.alias("relations"))
     twice = graphs.unionByName(graphs.withColumns({"pos": F.lit(1), "relations": F.slice("relations", 1, 0)}))
-    return I.graph_of_facts(facts, twice)
+    return written(I.graph_of_facts(facts, twice), "graph")
 
 
 GRAPH = r"""facts as (select *, chunk * 7 + idx as k from ranked where n = 1),
@@ -145,7 +145,7 @@ def _suppliers(spark, sf_dir):
 @query("edge_build", T.oracle(RAW, GRAPH)("select source_id, subject, relation, object, confidence::double as confidence from (select *, row_number() over (partition by source_id, subject, relation, object order by chunk, idx, pos) as n from rels) where n = 1"))
 def edge_build(spark, sf_dir):
     graph = _graph(spark, sf_dir)
-    resolved = I.resolve_entities(I.unique_entities(I.entities_of(graph)), _suppliers(spark, sf_dir))
+    resolved = written(I.resolve_entities(I.unique_entities(I.entities_of(graph)), _suppliers(spark, sf_dir)), "resolved")
     names = resolved.select("entity_id", "name")
     edges = I.build_edges(I.relations_of(graph), resolved)
     a = names.select(F.col("entity_id").alias("source_entity"), F.col("name").alias("subject"))
@@ -175,20 +175,25 @@ def purge_partial(spark, sf_dir):
     return out["chunks"].select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("id")).unionByName(out["memories"].select(F.lit("memory").alias("kind"), F.col("memory_id").alias("id")))
 
 
-@query("memory_hints")
+@query("memory_hints", T.oracle(T.MEMORIES)("""select query_id, count(*)::integer as n, sha256(string_agg(content, '|' order by rank)) as digest from (select query_id, vec_id as memory_id, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from
+  (select q.vec_id as query_id, e.vec_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score from embeddings e, embeddings q where q.vec_id % 50 = 0) where score >= 0) where rank <= 10) join memories using (memory_id) where forgotten_at is null group by 1"""))
 def memory_hints(spark, sf_dir):
     v = T.table(spark, sf_dir, "embeddings")
     out = I.memory_hints(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v, T.memories(spark, sf_dir))
-    return out.select("query_id", F.size("hints").alias("n"))
-
-
-WORDING = ["we met yesterday", "lunch tomorrow", "3 days ago", "a few days ago", "in 2 weeks", "last monday", "next friday", "last week", "this month", "next month", "nothing here"]
+    return out.select("query_id", F.size("hints").alias("n"), F.sha2(F.array_join("hints", "|"), 256).alias("digest"))
 
 
-@query("event_dates")
+@query("event_dates", f"""select k as id, strftime(case k % 6 when 0 then d - n when 1 then d + 7 * n when 2 then d - 30 * n when 3 then d + (case when ahead = 0 then 7 else ahead end)::integer
+  when 4 then d + (case when ahead = 0 then -7 else 7 - ahead end)::integer else d + 1 end, '%Y-%m-%d') as day
+  from (select *, (w - (isodow(d) - 1) + 7) % 7 as ahead from (select o_orderkey::bigint as k, (o_orderkey % 40 + 1)::integer as n, (o_orderkey % 7)::integer as w, o_orderdate::date as d from orders))""")
 def event_dates(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(WORDING)), "id long, content string")
-    return rows.select("id", "content", F.date_format(infer_event_date(F.col("content"), T.at()), "yyyy-MM-dd").alias("day"))
+    """Wording made from each order, against the order's date. "Last <weekday>" counts forward, as the rule has it."""
+    k, n = F.col("o_orderkey"), (F.col("o_orderkey") % 40 + 1).cast("string")
+    named = F.element_at(F.array(*map(F.lit, WEEKDAYS)), (k % 7 + 1).cast("int"))
+    word = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    content = F.when(k % 6 == 0, word("we met ", n, " days ago")).when(k % 6 == 1, word("due in ", n, " weeks")).when(k % 6 == 2, word("it was ", n, " months ago")).when(k % 6 == 3, word("until next ", named)).when(k % 6 == 4, word("since last ", named)).otherwise(F.lit("Lunch tomorrow"))
+    rows = T.table(spark, sf_dir, "orders").select(k.cast("long").alias("id"), content.alias("content"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    return rows.select("id", F.date_format(infer_event_date(F.col("content"), F.col("at")), "yyyy-MM-dd").alias("day"))
 
 
 @query("iso_dates", "select id, epoch(t)::bigint as moment from (values (0, timestamp '2026-06-01 00:00:00'), (1, timestamp '2026-06-01 10:30:00'), (2, timestamp '2026-05-31 22:00:00'), (3, null), (4, null), (5, timestamp '2026-06-01')) v(id, t)")

@@ -265,6 +265,9 @@ def _quality(spark, sf_dir):
     return M.retrieval_quality(results, results.select("query_id").distinct().select("query_id", wanted).select("query_id", "f.*"))
 
 
-@query("quality_by_variant")
+@query("quality_by_variant", f"""select variant, count(*) as queries, round(avg(coverage), 6) as coverage, round(avg(all_facts::int), 6) as all_facts, round(avg(top1::int), 6) as top1_relevant, round(avg(rr), 6) as mrr, round(avg(sbf::int), 6) as stale_before_fresh from
+  (select query_id % 4 as variant, n_found / 2.0 as coverage, n_found = 2 as all_facts, coalesce(first = 1, false) as top1, coalesce(1.0 / first, 0) as rr, coalesce(stale < first, false) as sbf from
+  (select query_id, (a is not null)::int + (b is not null)::int as n_found, least(a, b) as first, c as stale from (select query_id, min(rank) filter (contains(lower(content), 'thand')) as a, min(rank) filter (contains(lower(content), 'und')) as b, min(rank) filter (contains(lower(content), 'de ')) as c from ({_MET}) group by 1))) group by 1""")
 def quality_by_variant(spark, sf_dir):
-    return M.quality_means(_quality(spark, sf_dir).withColumn("variant", F.col("query_id") % 4), ["variant"])
+    out = M.quality_means(_quality(spark, sf_dir).withColumn("variant", F.col("query_id") % 4), ["variant"])
+    return out.withColumns({c: F.round(c, 6) for c in ("coverage", "all_facts", "top1_relevant", "mrr", "stale_before_fresh")})

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import text as X
 from mnemora.functions import vectors as V
-from mnemora.functions.times import temporal_range_column
+from mnemora.functions.times import MONTHS, WEEKDAYS, temporal_range_column
 from mnemora.operators import knn
 from mnemora.operators import ranking as R
 from mnemora.operators import signals as S
 from mnemora.operators.scope import hydrate
 from mnemora.plans import search as P
 from mnemora.plans import tables as T
+from mnemora.sources.scratch import written
 from mnemora.sources.stores import HashEmbedder, LexicalReranker
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -137,7 +138,7 @@ def candidate_lookup(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    based = R.rank_remap(R.rrf(R.tagged(_signals(spark, sf_dir))))
+    based = written(R.rank_remap(R.rrf(R.tagged(_signals(spark, sf_dir)))), "based")  # at most the signals' pools
     rows = based.join(hydrate(T.memories(spark, sf_dir), based, T.SCOPE), "memory_id")
     return R.final_score(rows, F.lit(ASKED), T.at())
 
@@ -231,22 +232,32 @@ def cursor_round_trip(spark, sf_dir):
     return e.select(back["key"].cast("long").alias("event_id"), back["at"].cast("long").alias("moment"))
 
 
-PHRASES = [
-    "what is my favorite color", "who is the manager", "do you remember the plan", "explain the parser", "what did i do last week", "status between january 2023 and march 2023", "since may 2023",
-    "events in june 2022", "3 weeks ago", "over the last 10 days", "this quarter", "a couple of weeks ago", "last month", "last quarter", "yesterday", "last friday", "on monday", "report for 2021", "current version", "plain words",
-]
+@query("query_intents", "select p_partkey::bigint as query_id, ['PREFERENCE', 'ENTITY_LOOKUP', 'PERSONAL', 'FACTUAL'][p_partkey % 4 + 1] as name, [0.9, 0.8, 0.85, 0.0][p_partkey % 4 + 1]::double as confidence from part")
+def query_intents(spark, sf_dir):
+    """A question about each part."""
+    k = F.col("p_partkey")
+    asked = F.when(k % 4 == 0, "what is my favorite ").when(k % 4 == 1, "who is the maker of ").when(k % 4 == 2, "do you remember ").otherwise("explain ")
+    q = T.table(spark, sf_dir, "part").select(k.cast("long").alias("query_id"), F.concat(asked, F.col("p_name")).alias("query"))
+    return q.select("query_id", X.intent(F.col("query")).alias("i")).select("query_id", "i.name", "i.confidence")
 
 
-@query("query_intents")
-def query_intents(spark, sf_dir):
-    q = spark.createDataFrame(list(enumerate(PHRASES)), "query_id long, query string")
-    return q.select("query_id", "query", X.intent(F.col("query")).alias("i")).select("query_id", "query", "i.name", "i.confidence")
+_NOW = "date '2024-01-31'"
 
 
-@query("temporal_ranges")
+@query("temporal_ranges", f"""select k as query_id, epoch_ms(a::timestamp)::bigint as start, epoch_ms(b::timestamp)::bigint + 86399999 as "end" from (select k, case k % 7 when 0 then {_NOW} - n when 1 then m when 2 then m when 3 then {_NOW} - 7 * n when 4 then {_NOW} - back when 5 then make_date(y, 1, 1) else {_NOW} - case when back = 0 then 7 else back end end as a,
+  case k % 7 when 0 then {_NOW} - n when 1 then {_NOW} when 2 then last_day(m) when 3 then {_NOW} when 4 then {_NOW} - back when 5 then make_date(y, 12, 31) else {_NOW} - case when back = 0 then 7 else back end end as b
+  from (select *, make_date(y, (k % 12 + 1)::integer, 1) as m, (2 - w + 7) % 7 as back from (select o_orderkey::bigint as k, (o_orderkey % 40 + 2)::integer as n, (o_orderkey // 7 % 7)::integer as w, (2001 + o_orderkey % 22)::integer as y from orders)))""")
 def temporal_ranges(spark, sf_dir):
-    q = spark.createDataFrame(list(enumerate(PHRASES)), "query_id long, query string")
-    return q.select("query_id", "query", temporal_range_column(F.col("query"), T.TODAY).alias("r")).select("query_id", "query", "r.start", "r.end")
+    """Wording made from each order's key, as asked on a Wednesday."""
+    k = F.col("o_orderkey")
+    n, year = (k % 40 + 2).cast("string"), (2001 + k % 22).cast("string")
+    month = F.element_at(F.array(*map(F.lit, MONTHS)), (k % 12 + 1).cast("int"))
+    day = F.element_at(F.array(*map(F.lit, WEEKDAYS)), (F.floor(k / 7) % 7 + 1).cast("int"))
+    word = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    query = F.when(k % 7 == 0, word("what happened ", n, " days ago")).when(k % 7 == 1, word("orders since ", month, " ", year)).when(k % 7 == 2, word("trips in ", month, " ", year)).when(k % 7 == 3, word("over the last ", n, " weeks"))
+    query = query.when(k % 7 == 4, word("who came on ", day)).when(k % 7 == 5, word("report for ", year)).otherwise(word("calls last ", day))
+    rows = T.table(spark, sf_dir, "orders").select(k.cast("long").alias("query_id"), query.alias("query"))
+    return rows.select("query_id", temporal_range_column(F.col("query"), T.TODAY).alias("r")).select("query_id", "r.start", "r.end")
 
 
 @query("embedded_documents")

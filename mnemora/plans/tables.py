@@ -248,7 +248,7 @@ JOBS = """jobs as (select o_orderkey as job_id, o_custkey % 5 as space_id, o_cus
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").where("c_custkey < 300").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("group_id"))
+    return table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("long").alias("group_id"))
 
 
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation", "n_nationkey").where(n % 5 != 4).select(n.alias("viewer_group"), (n + 1).alias("subject_group"))
 
 
-GROUPS = """members as (select c_custkey as user_id, c_nationkey::bigint as group_id from customer where c_custkey < 300),
+GROUPS = """members as (select c_custkey as user_id, c_nationkey::bigint as group_id from customer),
 grants as (select n_nationkey::bigint as viewer_group, n_nationkey::bigint + 1 as subject_group from nation where n_nationkey % 5 <> 4)"""
 
 
