@@ -68,4 +68,19 @@ QUERIES = {
     "op9_token_ids": op9_token_ids,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+_BLANKS = r"[\x20\x09-\x0D]+"
+_REACHED = "reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on l.a = r.b)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": rf"""with recursive worded as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_BLANKS}'), lambda w: w <> '') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) end as s from worded),
+grams as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (select a, b from (select x.doc_id as a, y.doc_id as b, any_value(x.n) as na, any_value(y.n) as nb, count(*) as c from grams x join grams y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2) where 100 * c >= 80 * (na + nb - c)),
+{_REACHED}
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(b) from reached where a = doc_id), doc_id)) as component_id from sets""",
+    "op5_vector_dedup": f"""with recursive good as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding::double[], lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding::double[], lambda x: x <> 0)) > 0),
+links as (select x.vec_id as a, y.vec_id as b from good x join good y on x.label = y.label and x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.98),
+{_REACHED},
+found as (select vec_id, (select count(*) from links where a = vec_id) as n_links, least(vec_id, coalesce((select min(b) from reached where a = vec_id), vec_id)) as component_id from embeddings)
+select vec_id, n_links, component_id, vec_id = component_id as kept from found""",
+}
