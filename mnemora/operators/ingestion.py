@@ -14,6 +14,7 @@ from mnemora.functions.fuzzy import sorted_words, token_sort_ratio_column
 from mnemora.functions.text import casefold, collapse, relation_name, word_count
 from mnemora.functions.times import parse_iso
 from mnemora.functions.vectors import unit_score
+from mnemora.operators.lifecycle import insert_if_absent
 
 SEGMENT, CONVERSATION_MAX = 4, 4000
 TEXT_TARGET, TEXT_MAX, MOST_CHUNKS = 2000, 4000, 500
@@ -154,6 +155,13 @@ def plan_batch(chunks: int, next_sequence: int, budget: int) -> tuple[int, int,
     return start, end, chunks - end
 
 
+def planned_batches(progress: DataFrame, budget: int) -> DataFrame:
+    """The same for a table of (source_id, chunks, next_sequence): start, end and remaining of each source's next batch."""
+    start = F.least(F.greatest("next_sequence", F.lit(0)), F.col("chunks"))
+    end = F.least(start + max(budget, 0), F.col("chunks"))
+    return progress.select("source_id", start.alias("start"), end.alias("end"), (F.col("chunks") - end).alias("remaining"))
+
+
 # --- normalisation of extracted facts -------------------------------------------------------------
 
 
@@ -310,6 +318,28 @@ def build_edges(relations: DataFrame, resolved: DataFrame) -> DataFrame:
     return rows.withColumn("n_", F.row_number().over(order)).where("n_ = 1").select(*FACT, "source_entity", "relation", "target_entity", "confidence", "valid_from")
 
 
+def row_id(*key: Column) -> Column:
+    """60 bits of an MD5 of a key: the same row has the same id however often it is written."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *key)), 1, 15), 16, 10).cast("long")
+
+
+def persist_window(tables: dict[str, DataFrame], window: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
+    """The tables after a window of chunks (source_id, sequence, content) came in with its facts (source_id, sequence, idx,
+    content, memory_type), and under `rows` the memory of each fact.
+
+    Ids are made of the keys: a window that is put in again after a failure changes nothing. Facts of no chunk stay out.
+    """
+    chunks = window.withColumn("chunk_id", row_id(F.lit("chunk"), F.col("source_id"), F.col("sequence")))
+    memory = row_id(F.lit("memory"), F.col("source_id"), F.col("sequence"), F.col("idx"))
+    rows = facts.withColumn("memory_id", memory).join(chunks.select("source_id", "sequence", "chunk_id"), ["source_id", "sequence"])
+    return tables | {
+        "chunks": insert_if_absent(tables["chunks"], chunks.select(*tables["chunks"].columns), ["chunk_id"]),
+        "memories": insert_if_absent(tables["memories"], rows.select(*tables["memories"].columns), ["memory_id"]),
+        "chunk_memories": insert_if_absent(tables["chunk_memories"], rows.select(*tables["chunk_memories"].columns), ["chunk_id", "memory_id"]),
+        "rows": rows.select("source_id", "sequence", "idx", "chunk_id", "memory_id"),
+    }
+
+
 def purge(tables: dict[str, DataFrame], source_ids: DataFrame, least: int = 0) -> dict[str, DataFrame]:
     """The tables after a partial batch (chunks of `least` and later) of some sources is taken back."""
     chunks = tables["chunks"]

@@ -97,6 +97,11 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = POOL, min_sco
     return ranked.join(limit, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
 
 
+def nearest_managed(vectors: DataFrame, query: list[float], k: int = POOL, most: int = 100, **rest) -> DataFrame:
+    """As from a managed index, which returns `most` matches at most."""
+    return nearest(vectors, query, min(k, most), **rest)
+
+
 def vectors_of(vectors: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
     return vectors.join(ids.select(key).distinct(), key, "left_semi")
 

@@ -35,6 +35,20 @@ def kept(rows: DataFrame, at: str, now: Column, days: int, also: Column | None =
     return rows.where(~F.coalesce(old if also is None else old & also, F.lit(False)))
 
 
+def retention_sweeps(tables: dict[str, DataFrame], now: Column, days: dict[str, int] = RETENTION_DAYS) -> dict[str, DataFrame]:
+    """What the sweeps leave of codes (expires_at, used), tokens (expires_at, revoked_at), jobs (status, created_at),
+    billing_events (processed_at, received_at) and usage (date). Jobs that run and events that wait stay at any age."""
+    cut = {name: F.timestamp_seconds(F.unix_timestamp(now) - n * 86_400) for name, n in days.items()}
+    gone = {
+        "codes": (F.col("expires_at") < cut["codes"]) | F.col("used"),
+        "tokens": (F.col("expires_at") < cut["tokens"]) & (F.col("revoked_at") < cut["tokens"]),
+        "jobs": F.col("status").isin(TERMINAL) & (F.col("created_at") < cut["jobs"]),
+        "billing_events": F.col("processed_at").isNotNull() & (F.col("received_at") < cut["billing_events"]),
+        "usage": F.col("date") < F.to_date(cut["usage"]),
+    }
+    return {name: df.where(~F.coalesce(gone[name], F.lit(False))) if name in gone else df for name, df in tables.items()}
+
+
 def active_jobs(jobs: DataFrame, now: Column, pending: int = 1200, processing: int = 1200) -> DataFrame:
     """Jobs that are waiting or running, within the seconds that either may take."""
     waits = (F.col("status") == "pending") & (seconds_before(now, "created_at") <= pending)

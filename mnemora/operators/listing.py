@@ -35,6 +35,14 @@ def page(df: DataFrame, sort: str, key: str, descending: bool = True, limit: int
     return df.orderBy(ordered(sort, descending), tie).offset(offset).limit(limit)
 
 
+def offset_page(df: DataFrame, sort: str, key: str, descending: bool = True, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page with next_offset, null on the last page."""
+    tie = F.col(key).desc() if descending else F.col(key).asc()
+    taken = page(df, sort, key, descending, limit + 1, offset).withColumn("n_", F.row_number().over(W.orderBy(ordered(sort, descending), tie)))
+    more = F.max("n_").over(W.partitionBy()) > limit
+    return taken.withColumn("next_offset", F.when(more, offset + limit).cast("long")).where(F.col("n_") <= limit).drop("n_")
+
+
 def list_memories(memories: DataFrame, sort: str = "created_at", descending: bool = True, limit: int = 50, offset: int = 0, memory_type: str | None = None) -> DataFrame:
     if sort not in MEMORY_SORTS:
         raise ValueError(f"sort: one of {MEMORY_SORTS}")
@@ -88,3 +96,14 @@ def in_batches(df: DataFrame, keys: list[str], order: list[str], size: int = 10)
     """Numbers each key's rows into batches of `size`."""
     n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("batch_no", F.floor((n - 1) / size).cast("long"))
+
+
+def key_list(keys: DataFrame, spaces: DataFrame) -> DataFrame:
+    """API keys with the name of the space they are bound to, if they are."""
+    return keys.join(spaces.select("space_id", F.col("name").alias("space")), "space_id", "left")
+
+
+def invite_list(invites: DataFrame, orgs: DataFrame, users: DataFrame) -> DataFrame:
+    """Invites with the organisation's name and the name of who sent them."""
+    named = invites.join(orgs.select("org_id", F.col("name").alias("org")), "org_id")
+    return named.join(users.select(F.col("user_id").alias("invited_by"), F.col("name").alias("inviter")), "invited_by")

@@ -106,3 +106,14 @@ def request_timings(events: DataFrame, expected: DataFrame) -> DataFrame:
     """Of each expected request the last logged timing."""
     rows = events.join(expected.select("request_id").distinct(), "request_id", "left_semi")
     return rows.groupBy("request_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+def latencies_with_server(samples: DataFrame, timings: DataFrame, results: DataFrame) -> DataFrame:
+    """Per query: medians of what its requests (query_id, request_id, total) took the client and, by the logged
+    (request_id, took), the server; requests without a timing; and the distinct sessions of its results (query_id, session_id).
+    """
+    per_query = samples.join(timings, "request_id", "left").groupBy("query_id").agg(
+        F.count("*").alias("samples"), nearest_rank(0.5, "total").alias("total_median"), nearest_rank(0.5, "took").alias("took_median"), F.sum(F.col("took").isNull().cast("long")).alias("missing")
+    )
+    sessions = results.groupBy("query_id").agg(F.count("*").alias("results"), F.countDistinct("session_id").alias("sessions"))
+    return per_query.join(sessions, "query_id", "left").na.fill(0, ["results", "sessions"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
+import json
 from typing import Protocol
 
 import numpy as np
@@ -94,3 +96,28 @@ class LexicalReranker:
     def score(self, query: Column, text: Column) -> Column:
         asked = tokenize(query)
         return F.size(F.array_intersect(asked, tokenize(text))) / F.greatest(F.size(asked), F.lit(1))
+
+
+# --- recorded answers of models, for replay in tests ------------------------------------------------
+
+
+def fixture_key(kind: str, parts: list) -> str:
+    """The key of a request: its kind and a hash of its parts as JSON."""
+    text = json.dumps([kind, *parts], separators=(",", ":"), ensure_ascii=False)
+    return f"{kind}:{hashlib.sha256(text.encode()).hexdigest()[:32]}"
+
+
+def fixtures(spark: SparkSession, path: str) -> DataFrame:
+    """(key, kind, request, response) of recorded exchanges: JSON files with an object of entries by key. Requests and
+    responses stay JSON text."""
+    entries = F.from_json(F.get_json_object("value", "$.entries"), "map<string,string>")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(entries).alias("key", "entry"))
+    part = lambda name: F.get_json_object("entry", f"$.{name}").alias(name)
+    return rows.select("key", F.split_part("key", F.lit(":"), F.lit(1)).alias("kind"), part("request"), part("response"))
+
+
+def replayed(requests: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Requests (key, ...) with the recorded response; one that nobody recorded is an error, never an invented answer."""
+    met = requests.join(recorded.select("key", "response", F.lit(True).alias("met_")), "key", "left")
+    missing = F.raise_error(F.concat(F.lit("no fixture for "), F.coalesce("key", F.lit("null"))))
+    return met.withColumn("response", F.when(F.col("met_").isNull(), missing.cast("string")).otherwise(F.col("response"))).drop("met_")

@@ -247,3 +247,32 @@ def test_grant_closure_equals_brute_force(spark):
     start = spark.range(10).selectExpr("id as root", "id as group_id")
     got = V.reachable(spark.createDataFrame(sorted(grants), "viewer_group long, subject_group long"), start).collect()
     assert {(r.root, r.group_id) for r in got} == {(a, b) for a, s in reach.items() for b in s}
+
+
+def test_fixtures_replay_what_was_recorded(spark, tmp_path):
+    import json
+
+    from mnemora.sources import stores
+
+    key = stores.fixture_key("embed", ["text", {"size": 4}])
+    assert key == stores.fixture_key("embed", ["text", {"size": 4}]) != stores.fixture_key("embed", ["text", {"size": 5}])
+    (tmp_path / "f.json").write_text(json.dumps({"note": "n", "entries": {key: {"request": ["text"], "response": {"v": [1, 2]}}}}, indent=1))
+    recorded = stores.fixtures(spark, str(tmp_path / "f.json"))
+    assert [tuple(r) for r in recorded.collect()] == [(key, "embed", '["text"]', '{"v":[1,2]}')]
+    asked = spark.createDataFrame([(key, 1)], "key string, n int")
+    assert [(r.n, r.response) for r in stores.replayed(asked, recorded).collect()] == [(1, '{"v":[1,2]}')]
+    with pytest.raises(Exception, match="no fixture for embed:none"):
+        stores.replayed(spark.createDataFrame([("embed:none", 1)], "key string, n int"), recorded).collect()
+
+
+def test_a_failing_signal_counts_as_empty_unless_it_is_needed(spark):
+    from pyspark.sql import functions as F
+
+    from mnemora.plans.search import answered
+
+    good = lambda: spark.createDataFrame([(1, 1, 0.5)], "memory_id long, rank long, score double")
+    bad = lambda: good().withColumn("rank", F.raise_error(F.lit("down")).cast("long"))
+    got = answered({"semantic": good, "keyword": bad}).collect()
+    assert [(r.signal, r.memory_id) for r in got] == [("semantic", 1)]
+    with pytest.raises(Exception, match="down"):
+        answered({"semantic": bad, "keyword": good})
