@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mnemora.llm import reports
 from mnemora.llm.common import table
 from mnemora.llm.decontamination import decontaminate
 from mnemora.llm.lm import lm_scores
@@ -67,6 +68,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_packing": op10_packing,
+    **reports.QUERIES,
 }
 _BLANKS = r"[\x20\x09-\x0D]+"
 _REACHED = "reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on l.a = r.b)"
@@ -83,4 +85,5 @@ links as (select x.vec_id as a, y.vec_id as b from good x join good y on x.label
 {_REACHED},
 found as (select vec_id, (select count(*) from links where a = vec_id) as n_links, least(vec_id, coalesce((select min(b) from reached where a = vec_id), vec_id)) as component_id from embeddings)
 select vec_id, n_links, component_id, vec_id = component_id as kept from found""",
+    **reports.ORACLE_SQL,
 }
