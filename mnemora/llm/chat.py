@@ -10,6 +10,8 @@ put into `</`, between two `#` and, in roles, before `:`. A backslash thus alway
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ HEAD, COLON, NEXT, END = "### ", ": ", "</next>", "</turn>\n"
 TURN = "struct<turn:bigint,role:string,text:string>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once a row; inside a lambda Spark may compute a column again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def escaped(text: Column) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     text = F.replace(text, F.lit("</"), F.lit("<\\/"))
@@ -58,14 +65,16 @@ def format_chats(conversations: DataFrame, trained: str = TRAINED) -> DataFrame:
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = F.sort_array(F.collect_list(turn))
     rows = conversations.groupBy("conv_id").agg(sorted_turns.alias("turns"))
-    rows = rows.select("conv_id", merged(F.col("turns")).alias("blocks"), F.transform("turns", lambda t: escaped(t["text"])).alias("texts"))
 
-    def block(b):
-        texts = F.slice("texts", b["first"], b["n"])
+    def block(b, texts):
         head = F.concat(F.lit(HEAD), escaped_role(b["role"]), F.lit(COLON))
-        return F.struct((b["role"] == trained).alias("trained"), head.alias("head"), texts.alias("texts"))
+        return F.struct((b["role"] == trained).alias("trained"), head.alias("head"), F.slice(texts, b["first"], b["n"]).alias("texts"))
+
+    def blocks_of(turns):
+        texts = F.transform(turns, lambda t: escaped(t["text"]))
+        return bound(texts, lambda x: F.transform(merged(turns), lambda b: block(b, x)))
 
-    rows = rows.select("conv_id", F.transform("blocks", block).alias("blocks"))
+    rows = rows.select("conv_id", bound(F.col("turns"), blocks_of).alias("blocks"))
     text = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], NEXT), F.lit(END))), "")
     # what stands before, within and behind each text, in bytes
     piece = lambda b, t, i: F.struct(F.when(i == 0, F.octet_length(b["head"])).otherwise(len(NEXT)).alias("before"), F.octet_length(t).alias("own"), F.when(i == F.size(b["texts"]) - 1, len(END)).otherwise(0).alias("behind"), b["trained"].alias("trained"))
@@ -91,8 +100,8 @@ def read_chats(formatted: DataFrame) -> DataFrame:
             lambda b: F.transform(F.split(F.substr(b["block"], F.length(b["role"]) + len(HEAD) + len(COLON) + 1), F.lit(NEXT)), lambda t: F.struct(unescaped(b["role"]).alias("role"), unescaped(t).alias("text"))),
         )
     )
-    whole = F.encode("formatted", "utf-8")
-    losses = F.transform("loss_spans", lambda s: unescaped(F.decode(F.substring(whole, s["start"] + 1, s["end"] - s["start"]), "utf-8")))
+    cut = lambda raw: F.transform("loss_spans", lambda s: unescaped(F.decode(F.substring(raw, s["start"] + 1, s["end"] - s["start"]), "utf-8")))
+    losses = bound(F.encode("formatted", "utf-8"), cut)
     return formatted.select("conv_id", turns.alias("turns"), losses.alias("loss_texts"))
 
 
