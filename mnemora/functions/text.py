@@ -191,16 +191,3 @@ def decode_cursor(c: Column) -> Column:
 
 def content_key(c: Column) -> Column:
     return F.substring(F.sha2(c, 256), 1, 32)
-
-
-ENDING = r"^(\w{3,}?)(?:ing|ed|es|s)$"
-
-
-def light_stem(w: Column) -> Column:
-    """Strips one English ending, on queries and texts alike."""
-    return F.regexp_replace(w, ENDING, "$1")
-
-
-def stem(w: str) -> str:
-    """The same of one word of a query."""
-    return re.sub(ENDING, r"\1", w, flags=re.ASCII)

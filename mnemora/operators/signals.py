@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemora.functions.text import bounded_terms, light_stem, stem
+from mnemora.functions.text import bounded_terms
 from mnemora.functions.times import proximity
+from mnemora.operators.keyword import KEYWORD_POOL, MIN_KEYWORD, build_index, keyword_matches, parse_query, query_terms, top_matches
 from mnemora.operators.knn import MIN_SCORE, POOL, nearest
 from mnemora.operators.scope import TenantScope, active, scoped
-from mnemora.sources.scratch import written
 
-KEYWORD_POOL, MIN_KEYWORD, TEMPORAL_LIMIT = 100, 0.1, 50
+TEMPORAL_LIMIT = 50
+__all__ = ["keyword_signal", "match_terms", "memory_time", "parse_query", "ranked", "semantic_signal", "temporal_signal"]
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
@@ -29,84 +30,17 @@ def semantic_signal(memories: DataFrame, vectors: DataFrame, query: list[float],
     return ranked(found.join(seen, "memory_id"), F.desc("score"), "memory_id").select("memory_id", "rank", "score")
 
 
-def parse_query(text: str) -> dict[str, list]:
-    """Bare words (all must occur), phrases in quotes, alternatives joined by `or`, and words behind `-` that mustn't."""
-    import re
-
-    must, banned, last_or = [], [], False
-    for phrase, word in re.findall(r'(-?"[^"]*")|(\S+)', text.lower()):
-        item = phrase or word
-        if item == "or":
-            last_or = bool(must)
-            continue
-        minus = item.startswith("-")
-        words = [w for w in re.split(r"[^a-z0-9_]+", item.lstrip("-").strip('"')) if w and len(w) <= 64]
-        if not words:
-            continue
-        if minus:
-            banned.append(words)
-        elif last_or:
-            must[-1].append(words)
-        else:
-            must.append([words])
-        last_or = False
-    return {"must": must[:96], "banned": banned[:96]}
-
-
-def keyword_signal(memories: DataFrame, query: str, scope: TenantScope, limit: int = POOL, pool: int = KEYWORD_POOL, least: float = MIN_KEYWORD) -> DataFrame:
-    """Lexical match and rank.
-
-    All bare words and phrases must occur (or one of the alternatives), none of the banned ones. The
-    rank of a text is the sum of tf / (tf + 1) over the matched words, divided by 1 + ln(1 + length in
-    words); words are compared without English endings. The best `pool` texts are normalised by the
-    best of them; those under `least` are skipped, though they use up a rank.
-    """
-    parsed = parse_query(query)
-    if not parsed["must"]:
+def keyword_signal(memories: DataFrame, query: str, scope: TenantScope, limit: int = POOL, pool: int = KEYWORD_POOL, least: float = MIN_KEYWORD, index: DataFrame | None = None) -> DataFrame:
+    """Lexical match and rank of one query: all words and phrases must occur (or one of the alternatives), none of the
+    banned ones; see keyword.cover_density() for the rank. `index` is that of these memories, if there is one."""
+    terms = query_terms(query)
+    if not any(t[0] >= 0 for t in terms):
         return memories.select("memory_id", F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("score")).limit(0)
-    items = [item for choices in parsed["must"] for item in choices]
-    rows = active(scoped(memories, scope)).select("memory_id", F.concat(F.lit(" "), F.regexp_replace(F.lower("content"), r"[^a-z0-9_]+", " "), F.lit(" ")).alias("line"))
-    # a word begins with its stem, so a text without the stems as such can't match: most texts end here
-    for choices in parsed["must"]:
-        hit = F.lit(False)
-        for item in choices:
-            together = F.lit(True)
-            for w in item:
-                together = together & F.contains(F.col("line"), F.lit(" " + stem(w)))
-            hit = hit | together
-        rows = rows.where(hit)
-    asked = sorted({stem(w) for item in items for w in item})
-
-    def forms(w: str):
-        """How often the words of one stem occur; only words that begin with it are stemmed."""
-        return F.size(F.filter(F.regexp_extract_all("line", F.lit(rf"(?<= )({w}(?:ing|ed|es|s)?)(?= )"), 1), lambda x: light_stem(x) == w))
-
-    phrases = any(len(i) > 1 for i in [*items, *parsed["banned"]])
-    stemmed = F.array_join(F.transform(F.split(F.trim("line"), " +"), light_stem), " ") if phrases else F.lit("")
-    n = F.when(F.trim("line") == "", 0).otherwise(F.size(F.split(F.trim("line"), " +"))).cast("double")
-    banned_words = sorted({stem(i[0]) for i in parsed["banned"] if len(i) == 1})
-    counts = {f"tf{k}": forms(w) for k, w in enumerate(asked)} | {f"no{k}": forms(w) for k, w in enumerate(banned_words)}
-    # what the filters and the rank both ask for is computed once
-    found = written(rows.select("memory_id", F.concat(F.lit(" "), stemmed, F.lit(" ")).alias("stems"), n.alias("n"), *[c.alias(k) for k, c in counts.items()]), "keyword")
-    tf = {w: F.col(f"tf{k}") for k, w in enumerate(asked)}
-
-    def occurs(item: list[str]):
-        return tf[stem(item[0])] > 0 if len(item) == 1 else F.contains(F.col("stems"), F.lit(f" {' '.join(map(stem, item))} "))
-
-    for choices in parsed["must"]:
-        hit = F.lit(False)
-        for item in choices:
-            hit = hit | occurs(item)
-        found = found.where(hit)
-    for item in parsed["banned"]:
-        found = found.where(F.col(f"no{banned_words.index(stem(item[0]))}") == 0 if len(item) == 1 else ~F.contains(F.col("stems"), F.lit(f" {' '.join(map(stem, item))} ")))
-    weight = F.lit(0.0)
-    for c in dict.fromkeys(stem(w) for item in items for w in item):
-        weight = weight + tf[c] / (tf[c] + 1)
-    rows = found.select("memory_id", (weight / (1 + F.log1p("n"))).alias("raw"))
-    top = rows.orderBy(F.desc("raw"), "memory_id").limit(pool)
-    scored = ranked(top, F.desc("raw"), "memory_id").withColumn("score", F.col("raw") / F.max("raw").over(W.partitionBy()))
-    return scored.where(F.col("score") >= least).orderBy("rank").limit(limit).select("memory_id", "rank", "score")
+    index = build_index(memories) if index is None else index
+    rows = memories.sparkSession.createDataFrame([(0, *t) for t in terms], "query_id long, item int, choice int, offset int, stem string")
+    wanted = index.where(F.col("stem").isin(*sorted({t[3] for t in terms})))  # reaches the scan
+    seen = active(scoped(memories, scope)).select("memory_id")
+    return top_matches(keyword_matches(wanted, F.broadcast(rows), seen), limit, pool, least).drop("query_id")
 
 
 def match_terms(names: DataFrame, query: str, column: str = "name") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import text as X
 from mnemora.functions import vectors as V
+from mnemora.functions.stemmer import STOPPED
 from mnemora.functions.times import MONTHS, WEEKDAYS, temporal_range_column
 from mnemora.operators import knn
 from mnemora.operators import ranking as R
@@ -19,7 +20,7 @@ from mnemora.sources.scratch import written
 from mnemora.sources.stores import HashEmbedder, LexicalReranker
 
 QUERIES, ORACLE_SQL = {}, {}
-TEXT_QUERY = "the with"
+TEXT_QUERY = 'thing or erre or "tion of thed" the thly or ering -"thed thing"'
 ASKED = "is the with still current"
 WINDOW = (datetime(2023, 3, 1), datetime(2023, 9, 30, 23, 59, 59, 999000))
 
@@ -38,10 +39,21 @@ COSINE = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
 SEMANTIC = f"""near as (select memory_id, score from (select e.vec_id as memory_id, {COSINE} as score from embeddings e, (select embedding from embeddings where vec_id = 0) q)
   where score >= 0.1 order by score desc, memory_id limit 50),
 semantic as (select memory_id, row_number() over (order by score desc, memory_id) as rank, score from near join seen using (memory_id))"""
-_WORDS = r"list_transform(list_filter(string_split(regexp_replace(lower(content), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda w: length(w) > 0), lambda w: regexp_replace(w, '^(\w{3,}?)(?:ing|ed|es|s)$', '\1'))"
-KEYWORD = f"""worded as (select memory_id, {_WORDS} as words from seen),
-matched as (select memory_id, words, len(list_filter(words, lambda w: w = 'the')) as a, len(list_filter(words, lambda w: w = 'with')) as b from worded),
-rated as (select memory_id, (a / (a + 1.0) + b / (b + 1.0)) / (1 + ln(1 + len(words))) as raw from matched where a > 0 and b > 0 order by raw desc, memory_id limit 100),
+# which words have a stem of the query, written out; hits of both items with their first and last word; shortest stretches
+_STEMS = r"""case when regexp_matches(w, '^thing(ly)?((ed|ing)(ly)?|e?s)?$') then 'thing' when regexp_matches(w, '^erre(ing(ly)?|ly((ed|ing)(ly)?)?)?$') then 'err' when regexp_matches(w, '^er(es?|(ed|ing)(ly)?)$') then 'ere'
+  when regexp_matches(w, '^thly((ed|ing)(ly)?)?$') then 'thli' when regexp_matches(w, '^thed(ly((ed|ing)(ly)?)?)?$') then 'thed' when regexp_matches(w, '^tion(ly)?((ed|ing)(ly)?|e?s)?$') then 'tion' end"""
+KEYWORD = rf"""placed as (select memory_id, unnest(w) as w, generate_subscripts(w, 1) as p from (select memory_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') as w from seen)),
+stems as (select memory_id, p, {_STEMS} as stem from placed),
+sizes as (select memory_id, count(*) as n from placed where length(w) <= 64 and w not in ({", ".join(f"'{w}'" for w in STOPPED.split())}) group by 1),
+hits as (select memory_id, case when stem in ('thing', 'err') then 0 else 1 end as item, p as a, p as b from stems where stem in ('thing', 'err', 'ere', 'thli')
+  union select x.memory_id, 0, x.p, y.p from stems x join stems y on x.memory_id = y.memory_id and y.p = x.p + 2 where x.stem = 'tion' and y.stem = 'thed'),
+taken as (select memory_id, a as p from hits union select memory_id, b from hits),
+banned as (select x.memory_id from stems x join stems y on x.memory_id = y.memory_id and y.p = x.p + 1 where x.stem = 'thed' and y.stem = 'thing'),
+stretches as (select e.memory_id, e.b, least(max(h.a) filter (h.item = 0), max(h.a) filter (h.item = 1)) as a, count(distinct h.item) as items from (select distinct memory_id, b from hits) e join hits h on h.memory_id = e.memory_id and h.b <= e.b group by 1, 2),
+covers as (select * from (select *, max(a) over (partition by memory_id order by b rows between unbounded preceding and 1 preceding) as before from stretches where items = 2) where before is null or a > before),
+free as (select c.memory_id, c.a, c.b, c.b - c.a + 1 - count(*) as free from covers c join taken t on t.memory_id = c.memory_id and t.p between c.a and c.b group by 1, 2, 3),
+dense as (select memory_id, sum(0.1::double / (1 + free)) / ln(1 + any_value(n)) as d from free join sizes using (memory_id) where memory_id not in (select memory_id from banned) group by 1),
+rated as (select memory_id, d / (1 + d) as raw from dense order by raw desc, memory_id limit 100),
 keyword as (select * from (select memory_id, row_number() over (order by raw desc, memory_id) as rank, raw / max(raw) over () as score from rated) where score >= 0.1 order by rank limit 50)"""
 _MID = "(epoch_us(timestamp '2023-03-01') + epoch_us(timestamp '2023-09-30 23:59:59.999')) / 2"
 _HALF = "((epoch_us(timestamp '2023-09-30 23:59:59.999') - epoch_us(timestamp '2023-03-01')) / 2e6)"
@@ -66,13 +78,15 @@ def _vector(spark, sf_dir, vec_id=0):
     return list(row.embedding)
 
 
-def _signals(spark, sf_dir):
+def _signals(spark, sf_dir, *names):
+    """The named signals, or all of them."""
     m, v = T.memories(spark, sf_dir), T.table(spark, sf_dir, "embeddings")
-    return {
-        "semantic": S.semantic_signal(m, v, _vector(spark, sf_dir), T.SCOPE),
-        "keyword": S.keyword_signal(m, TEXT_QUERY, T.SCOPE),
-        "temporal": S.temporal_signal(m, T.SCOPE, *WINDOW),
+    made = {
+        "semantic": lambda: S.semantic_signal(m, v, _vector(spark, sf_dir), T.SCOPE),
+        "keyword": lambda: S.keyword_signal(m, TEXT_QUERY, T.SCOPE, index=T.keyword_index(spark, sf_dir)),
+        "temporal": lambda: S.temporal_signal(m, T.SCOPE, *WINDOW),
     }
+    return {name: made[name]() for name in names or made}
 
 
 def _rounded(df, *columns):
@@ -99,7 +113,7 @@ def semantic_mixed_topk(spark, sf_dir):
 
 @query("semantic_scoped", base("select memory_id, rank, round(score, 6) as score from semantic"))
 def semantic_scoped(spark, sf_dir):
-    return _rounded(_signals(spark, sf_dir)["semantic"], "score")
+    return _rounded(_signals(spark, sf_dir, "semantic")["semantic"], "score")
 
 
 @query("vector_store_rewrite", "select vec_id, round(list_sum(list_transform(embedding::double[], lambda x: x * x)), 5) as size from embeddings where vec_id % 3 <> 0 union all select vec_id, 1.0 from embeddings where vec_id % 6 = 0")
@@ -113,12 +127,12 @@ def vector_store_rewrite(spark, sf_dir):
 
 @query("keyword_match_rank", base("select memory_id, rank, round(score, 6) as score from keyword"))
 def keyword_match_rank(spark, sf_dir):
-    return _rounded(_signals(spark, sf_dir)["keyword"], "score")
+    return _rounded(_signals(spark, sf_dir, "keyword")["keyword"], "score")
 
 
 @query("temporal_window_rank", base("select memory_id, rank, round(score, 6) as score from temporal"))
 def temporal_window_rank(spark, sf_dir):
-    return _rounded(_signals(spark, sf_dir)["temporal"], "score")
+    return _rounded(_signals(spark, sf_dir, "temporal")["temporal"], "score")
 
 
 @query("rrf_fusion", base("select memory_id, round(fused, 9) as fused, place from fused"))
@@ -186,7 +200,7 @@ def search(spark, sf_dir):
 @query("touch", base("select memory_id, access_frequency + (memory_id in (select memory_id from keyword))::int as access_frequency, epoch(case when memory_id in (select memory_id from keyword) then timestamp '2024-01-31 12:00:00' else last_accessed_at end)::bigint as accessed from memories"))
 def touch(spark, sf_dir):
     m = T.memories(spark, sf_dir)
-    return R.touched(m, _signals(spark, sf_dir)["keyword"], T.at()).select("memory_id", "access_frequency", F.unix_timestamp("last_accessed_at").alias("accessed"))
+    return R.touched(m, _signals(spark, sf_dir, "keyword")["keyword"], T.at()).select("memory_id", "access_frequency", F.unix_timestamp("last_accessed_at").alias("accessed"))
 
 
 # --- expressions ---

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.operators.graph import GraphTables
+from mnemora.operators.keyword import build_index
 from mnemora.operators.scope import TenantScope
 from mnemora.sources.stores import table
 
@@ -55,6 +56,17 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memories' keyword index, written once a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(memories(spark, sf_dir))
+    return _INDEXES[key]
+
+
 MEMORIES = """memories as (select d.doc_id as memory_id, 1 as org_id, d.doc_id % 5 as space_id, d.doc_id % 50 as owner_user_id,
   case when d.doc_id % 3 = 0 then 'org' else 'private' end as visibility, coalesce(d.text, '') as content,
   case d.lang when 'en' then 'fact' when 'fr' then 'preference' else 'event' end as memory_type, l.quality::double as importance_score,
