@@ -1,22 +1,22 @@
 """Exact nearest neighbours by cosine.
 
-One query: an expression, and Spark's top-k (each task keeps k rows). Many queries: they are a stated
-set against all rows, in blocks of a bounded size; a task multiplies its batches with the block and
-keeps its best k per query, so what is shuffled is at most queries x k rows per task.
+One query: an expression, and Spark's top-k (each task keeps k rows). Many queries: a grid of cells, each of a
+bounded number of vectors and of queries. The vectors are scanned once and dealt to the cells as the queries
+are; a cell's products are taken in its task, which keeps the best k per query. Nothing is collected.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemora.functions.vectors import cosine
 
 POOL, MIN_SCORE = 50, 0.1
-BLOCK = 4096
+CELL_ROWS, CELL_BYTES = 32_768, 32 << 20
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int = POOL, min_score: float = MIN_SCORE, key: str = "vec_id") -> DataFrame:
@@ -40,61 +40,82 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def _block_nearest(vectors: DataFrame, queries: list, key: str) -> DataFrame:
-    ids = np.array([r.query_id for r in queries], dtype=np.int64)
-    unit = _unit(np.array([r.embedding for r in queries], dtype=np.float64))
-    top = np.array([r.k for r in queries])
-    least = np.array([r.min_score for r in queries], dtype=np.float64)
-
-    def best(batches):
-        held: list[list[np.ndarray]] = []
-
-        def cut():
-            q, v, s = (np.concatenate([h[i] for h in held]) for i in range(3))
-            order = np.lexsort((v, -s, q))
-            q, v, s = q[order], v[order], s[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            keep = place < top[q]
-            return [q[keep], v[keep], s[keep]]
-
-        for batch in batches:
-            good, x = _rows(batch, "embedding")
-            if not len(good):
-                continue
-            keys = batch.column(key).to_numpy(zero_copy_only=False)[good]
-            for lo in range(0, len(x), 1024):
-                score = unit @ _unit(x[lo : lo + 1024]).T
-                q, v = np.nonzero(score >= least[:, None])
-                held.append([q, keys[lo + v], score[q, v]])
-                if sum(len(h[0]) for h in held) > 2_000_000:
-                    held[:] = [cut()]
-        if held:
-            q, v, s = cut()
-            yield pa.record_batch([pa.array(ids[q]), pa.array(v.astype(np.int64)), pa.array(s)], names=["query_id", key, "score"])
-
-    return vectors.select(key, "embedding").mapInArrow(best, f"query_id long, {key} long, score double")
-
-
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = POOL, min_score: float = MIN_SCORE, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
-    """(query_id, key, score, rank) for a table of (query_id, embedding); its columns k and min_score, where
-    there are any, hold for each query. Queries without vector and those of k <= 0 find nothing."""
-    q = queries
-    for name, value in (("k", k), ("min_score", min_score)):
-        if name not in q.columns:
-            q = q.withColumn(name, F.lit(value))
-    q = q.where((F.col("k") > 0) & (F.size("embedding") > 0)).select("query_id", "embedding", "k", "min_score")
-    blocks = max(1, -(-q.count() // (block // 2)))
-    found = None
-    for b in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if part:
-            out = _block_nearest(vectors, part, key)
-            found = out if found is None else found.union(out)
-    if found is None:
-        return vectors.select(F.lit(0).cast("long").alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-    limit = q.select("query_id", "k")
+def _best_of_cell(vectors: pa.Table, queries: pa.Table, key: str) -> pa.Table:
+    """(query_id, key, score, k) of each query's best k vectors of a cell."""
+    empty = pa.table({"query_id": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "k": pa.array([], pa.int32())})
+    if not vectors.num_rows or not queries.num_rows:
+        return empty
+    asked, q = _rows(queries.combine_chunks().to_batches()[0], "embedding")
+    own, x = _rows(vectors.combine_chunks().to_batches()[0], "embedding")
+    if not len(asked) or not len(own):
+        return empty
+    ids, top, least = (queries.column(c).to_numpy()[asked] for c in ("query_id", "k", "min_score"))
+    keys, unit = vectors.column(key).to_numpy()[own], _unit(q)
+    held: list[list[np.ndarray]] = []
+
+    def cut():
+        q, v, s = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((v, -s, q))
+        q, v, s = q[order], v[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < top[q]
+        return [q[keep], v[keep], s[keep]]
+
+    for lo in range(0, len(x), 1024):
+        score = unit @ _unit(x[lo : lo + 1024]).T
+        q, v = np.nonzero(score >= least[:, None])
+        held.append([q, keys[lo + v], score[q, v]])
+        if sum(len(h[0]) for h in held) > 2_000_000:
+            held[:] = [cut()]
+    q, v, s = cut()
+    return pa.table({"query_id": pa.array(ids[q], pa.int64()), key: pa.array(v, pa.int64()), "score": pa.array(s, pa.float64()), "k": pa.array(top[q], pa.int32())})
+
+
+def met_in_cells(vectors: DataFrame, queries: DataFrame, cell: list[str], key: str) -> DataFrame:
+    """(query_id, key, score, rank) of the best k over all cells: both sides' rows carry the columns of their cell."""
+    left = vectors.select(*cell, F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).groupBy(*cell)
+    right = queries.select(*cell, F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("k").cast("int").alias("k"), F.col("min_score").cast("double").alias("min_score")).groupBy(*cell)
+    found = left.cogroup(right).applyInArrow(lambda v, q: _best_of_cell(v, q, key), f"query_id long, {key} long, score double, k int")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key)).cast("long"))
-    return ranked.join(limit, "query_id").where(F.col("rank") <= F.col("k")).drop("k")
+    return ranked.where(F.col("rank") <= F.col("k")).drop("k")
+
+
+def asked_of(queries: DataFrame, k: int, min_score: float) -> DataFrame:
+    """Queries with a vector and a k of their own or the given one."""
+    for name, value in (("k", k), ("min_score", min_score)):
+        if name not in queries.columns:
+            queries = queries.withColumn(name, F.lit(value))
+    return queries.where((F.col("k") > 0) & (F.size("embedding") > 0)).select("query_id", "embedding", "k", "min_score")
+
+
+def cell_rows(vectors: DataFrame) -> int:
+    """How many vectors of this width make a cell's share of memory."""
+    wide = vectors.where(F.size("embedding") > 0).select(F.size("embedding")).first()
+    return max(256, min(CELL_ROWS, CELL_BYTES // (8 * wide[0]))) if wide else CELL_ROWS
+
+
+def dealt(n: int | Column, size: int, *by: str) -> Column:
+    """Which of n / size parts a row falls to."""
+    parts = F.greatest(F.ceil(F.lit(n) / size), F.lit(1)) if isinstance(n, int) else F.greatest(F.ceil(n / size), F.lit(1))
+    return F.pmod(F.xxhash64(*by), parts).cast("int")
+
+
+def each_part(n: int | Column, size: int) -> Column:
+    """All of the parts, one row each."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.explode(F.sequence(F.lit(0), (F.greatest(F.ceil(n / size), F.lit(1)) - 1).cast("int")))
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int = POOL, min_score: float = MIN_SCORE, key: str = "vec_id", rows: int | None = None) -> DataFrame:
+    """(query_id, key, score, rank) for a table of (query_id, embedding); its columns k and min_score, where
+    there are any, hold for each query. Queries without vector and those of k <= 0 find nothing. A cell has about `rows`
+    vectors and as many queries."""
+    q = asked_of(queries, k, min_score)
+    rows = rows or cell_rows(vectors)
+    n, asked = vectors.count(), q.count()
+    left = vectors.select(key, "embedding", dealt(n, rows, key, "embedding").alias("part")).select("*", each_part(asked, rows).alias("block"))
+    right = q.select("*", dealt(asked, rows, "query_id").alias("block")).select("*", each_part(n, rows).alias("part"))
+    return met_in_cells(left, right, ["part", "block"], key)
 
 
 def nearest_managed(vectors: DataFrame, query: list[float], k: int = POOL, most: int = 100, **rest) -> DataFrame:

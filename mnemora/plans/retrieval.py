@@ -10,7 +10,7 @@ from mnemora.functions import text as X
 from mnemora.functions import vectors as V
 from mnemora.functions.stemmer import STOPPED
 from mnemora.functions.times import MONTHS, WEEKDAYS, temporal_range_column
-from mnemora.operators import knn
+from mnemora.operators import ivf, knn
 from mnemora.operators import ranking as R
 from mnemora.operators import signals as S
 from mnemora.operators.scope import hydrate
@@ -111,6 +111,16 @@ def semantic_mixed_topk(spark, sf_dir):
     return _rounded(knn.nearest_batch(v, queries), "score")
 
 
+@query("semantic_index_topk")
+def semantic_index_topk(spark, sf_dir):
+    """The 50 nearest of every 50th vector by the inverted-file index; exact says which of them the exact way finds too."""
+    v = T.table(spark, sf_dir, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = ivf.nearest_probed_batch(ivf.build(v), q)
+    exact = knn.nearest_batch(v, q).select("query_id", "vec_id", F.lit(True).alias("exact"))
+    return _rounded(found.join(exact, ["query_id", "vec_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False))), "score")
+
+
 @query("semantic_scoped", base("select memory_id, rank, round(score, 6) as score from semantic"))
 def semantic_scoped(spark, sf_dir):
     return _rounded(_signals(spark, sf_dir, "semantic")["semantic"], "score")
@@ -125,6 +135,15 @@ def vector_store_rewrite(spark, sf_dir):
     return out.select("vec_id", F.round(V.norm(F.col("embedding")) * V.norm(F.col("embedding")), 5).alias("size"))
 
 
+@query("keyword_index", T.oracle(T.MEMORIES)(rf"""select memory_id, count(*)::integer as n_words, sum(p - 1)::bigint as places from (select memory_id, unnest(w) as w, generate_subscripts(w, 1) as p from
+  (select memory_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') as w from memories)) where length(w) <= 64 and w not in ({", ".join(f"'{w}'" for w in STOPPED.split())}) group by 1"""))
+def keyword_index(spark, sf_dir):
+    """What the index, once written, holds of each memory."""
+    rows = T.keyword_index(spark, sf_dir)
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)
+    return rows.groupBy("memory_id").agg(F.first("n_words").alias("n_words"), F.sum(total).alias("places"))
+
+
 @query("keyword_match_rank", base("select memory_id, rank, round(score, 6) as score from keyword"))
 def keyword_match_rank(spark, sf_dir):
     return _rounded(_signals(spark, sf_dir, "keyword")["keyword"], "score")

@@ -115,8 +115,8 @@ def test_nearest_batch(spark):
         score = unit @ unit[i]
         order = sorted((j for j in range(50) if score[j] >= least), key=lambda j: (-score[j], j))[:k]
         want += [(i, j, r) for r, j in enumerate(order, 1)]
-    for block in (4096, 2):
-        got = knn.nearest_batch(v, q, block=block).select("query_id", "vec_id", "rank").collect()
+    for rows in (None, 2, 20):
+        got = knn.nearest_batch(v, q, rows=rows).select("query_id", "vec_id", "rank").collect()
         assert sorted(map(tuple, got)) == sorted(want)
 
 
