@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.text import tokenize
 from mnemora.functions.times import edge_recency
+from mnemora.operators.names import similar_names
 from mnemora.operators.scope import TenantScope, active, scoped
 from mnemora.sources.scratch import written
 
 MAX_DEPTH, DECAY = 2, 0.5
-SEEDS, SEEDS_EACH = 10, 5
+SEEDS, SEEDS_EACH, SEED_COSINE = 10, 5, 0.2
 MIN_CONFIDENCE, EDGES_PER_HOP, MEMORY_BUDGET = 0.3, 200, 100
 HISTOGRAM = 20
 
@@ -101,6 +102,12 @@ def seeds_by_name(entities: DataFrame, query: Column, limit: int = SEEDS_EACH) -
     return top.withColumn("relevance", F.col("share") / F.max("share").over(W.partitionBy())).drop("share")
 
 
+def seeds_by_likeness(entities: DataFrame, query: str, limit: int = SEEDS_EACH, least: float = SEED_COSINE) -> DataFrame:
+    """(entity_id, relevance) of the entities whose names are nearest to the query, by cosine of their trigrams."""
+    asked = entities.sparkSession.range(1).select(F.col("id").alias("key"), F.lit(query).alias("name"))
+    return similar_names(asked, entities, least, limit).select("entity_id", F.col("cosine").alias("relevance"))
+
+
 def top_seeds(*parts: DataFrame, most: int = SEEDS) -> DataFrame:
     """The best seeds over all strategies, each entity by its best relevance."""
     out = parts[0]

@@ -15,6 +15,7 @@ from mnemora.functions.text import casefold, collapse, relation_name, word_count
 from mnemora.functions.times import parse_iso
 from mnemora.functions.vectors import unit_score
 from mnemora.operators.lifecycle import insert_if_absent
+from mnemora.operators.names import similar_names
 
 SEGMENT, CONVERSATION_MAX = 4, 4000
 TEXT_TARGET, TEXT_MAX, MOST_CHUNKS = 2000, 4000, 500
@@ -299,7 +300,10 @@ def similar_name_pool(names: DataFrame, entities: DataFrame) -> DataFrame:
     return met.where(fits).select("key", F.col("id.entity_id").alias("entity_id")).distinct()
 
 
-shared_word_pool = similar_name_pool  # its earlier name
+def entity_pool(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """(key, entity_id): every pair that can resolve, and each name's nearest entities by cosine of their trigrams."""
+    near = similar_names(names.select("key", F.col("key").alias("name")), entities).select("key", "entity_id")
+    return similar_name_pool(names, entities).unionByName(near).distinct()
 
 
 def memory_entity_links(entities: DataFrame, resolved: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -363,6 +367,3 @@ def memory_hints(chunk_vectors: DataFrame, vectors: DataFrame, memories: DataFra
     text = near.join(memories.where("forgotten_at is null").select("memory_id", "content"), "memory_id")
     return text.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda s: s["content"]).alias("hints"))
 
-
-# role prefixes, for callers that hold a text in Python
-ROLE_PATTERN = re.compile(ROLE_LINE, re.I)

@@ -75,17 +75,17 @@ def graph_signal(spark, sf_dir):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query("graph_seeds", T.oracle(T.MEMORIES, T.MEMORY_ENTITIES, T.ENTITIES)(r"""select entity_id, round(max(relevance), 6) as relevance from (
+@query("graph_seeds", T.oracle(T.MEMORIES, T.MEMORY_ENTITIES, T.ENTITIES, "asked as (select 'red widget supplier' as key)", T.ALIKE)(r"""select entity_id, round(max(relevance), 6) as relevance from (
   select me.entity_id, score as relevance from (select e.vec_id as memory_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as score from embeddings e, (select embedding from embeddings where vec_id = 0) q where list_cosine_similarity(e.embedding::double[], q.embedding::double[]) >= 0.2 order by score desc, memory_id limit 5) n join seen using (memory_id) join memory_entities me using (memory_id)
   union all select entity_id, share / max(share) over () from (select entity_id, len(list_intersect(list_distinct(string_split_regex(regexp_replace(lower(name), '[^\w\s]', ' ', 'g'), '\s+')), ['red', 'widget', 'supplier'])) / 3.0 as share from entities where len(list_intersect(list_distinct(string_split_regex(regexp_replace(lower(name), '[^\w\s]', ' ', 'g'), '\s+')), ['red', 'widget', 'supplier'])) > 0 order by share desc, entity_id limit 5)
-  ) group by 1 order by max(relevance) desc, entity_id limit 10"""))
+  union all select * from (select entity_id, cosine from alike where key = 'red widget supplier' and cosine >= 0.2 order by round(cosine, 9) desc, entity_id limit 5)) group by 1 order by max(relevance) desc, entity_id limit 10"""))
 def graph_seeds(spark, sf_dir):
     from mnemora.operators.knn import nearest
 
     g, v = T.graph_tables(spark, sf_dir), T.table(spark, sf_dir, "embeddings")
     q = list(v.where("vec_id = 0").first().embedding)
     matches = nearest(v, q, G.SEEDS_EACH, 0.2).select(F.col("vec_id").alias("memory_id"), "score")
-    seeds = G.top_seeds(G.seeds_by_memory(g, matches, T.SCOPE), G.seeds_by_name(g.entities, F.lit("red widget supplier")))
+    seeds = G.top_seeds(G.seeds_by_memory(g, matches, T.SCOPE), G.seeds_by_name(g.entities, F.lit("red widget supplier")), G.seeds_by_likeness(g.entities, "red widget supplier"))
     return seeds.withColumn("relevance", F.round("relevance", 6))
 
 

@@ -8,6 +8,7 @@ from mnemora.functions.fuzzy import token_sort_ratio_column
 from mnemora.functions.text import casefold, format_messages
 from mnemora.functions.times import WEEKDAYS, infer_event_date, parse_iso
 from mnemora.operators import ingestion as I
+from mnemora.operators.names import similar_names
 from mnemora.plans import tables as T
 from mnemora.sources.scratch import written
 
@@ -155,10 +156,25 @@ def edge_build(spark, sf_dir):
 
 @query("entity_resolution_fuzzy")
 def entity_resolution_fuzzy(spark, sf_dir):
+    names, parts = _turned_parts(spark, sf_dir)
+    return I.resolve_entities(names, parts, I.entity_pool(names, parts))
+
+
+def _turned_parts(spark, sf_dir):
     parts = T.table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("entity_id")).select("entity_id", F.col("p_name").alias("name"))
     turned = parts.select(F.concat(F.split("name", " ")[1], F.lit(" "), F.split("name", " ")[0], F.lit("s")).alias("name"))
-    names = turned.select(casefold(F.col("name")).alias("key"), "name").distinct()
-    return I.resolve_entities(names, parts, I.similar_name_pool(names, parts))
+    return turned.select(casefold(F.col("name")).alias("key"), "name").distinct(), parts
+
+
+_PARTS = """entities as (select min(p_partkey) as entity_id, p_name as name from part group by 2),
+asked as (select distinct lower(split_part(name, ' ', 2) || ' ' || split_part(name, ' ', 1) || 's') as key from entities)"""
+
+
+@query("entity_name_pool", T.oracle(_PARTS, T.ALIKE)("select key, entity_id, round(cosine, 6) as cosine from (select *, row_number() over (partition by key order by round(cosine, 9) desc, entity_id) as n from alike where cosine >= 0.5 - 1e-9) where n <= 50"))
+def entity_name_pool(spark, sf_dir):
+    """The entities nearest to each part's name with its words turned round."""
+    names, parts = _turned_parts(spark, sf_dir)
+    return similar_names(names.select("key", F.col("key").alias("name")), parts).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("name_similarity")

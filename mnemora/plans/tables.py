@@ -150,6 +150,18 @@ ENTITIES = """entities as (select n_nationkey::bigint as entity_id, n_name as na
   union all select c_custkey + 3000000000, c_name, 'person', 1, 2 from customer)"""
 
 
+# the cosine of each asked key and each entity, over all grams that they share
+ALIKE = r"""framed as (select entity_id, ' ' || trim(regexp_replace(lower(name), '\s+', ' ', 'g')) || ' ' as f from entities where trim(name) <> ''),
+cut as (select entity_id, unnest(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3))) as g from framed),
+rarity as (select g, ln(1 + (select count(*) from framed) / count(distinct entity_id)) as idf from cut group by 1),
+weighed as (select entity_id, g, count(*) * any_value(idf) as w from cut join rarity using (g) group by 1, 2),
+sizes as (select entity_id, sqrt(sum(w * w)) as size from weighed group by 1),
+asked_cut as (select key, unnest(list_transform(range(1, length(key) + 1), lambda i: substr(' ' || key || ' ', i, 3))) as g from asked),
+asked_weighed as (select key, g, count(*) * coalesce(any_value(idf), ln(1 + (select count(*) from framed))) as w from asked_cut left join rarity using (g) group by 1, 2),
+asked_sizes as (select key, sqrt(sum(w * w)) as size from asked_weighed group by 1),
+alike as (select key, entity_id, sum(a.w * b.w) / any_value(s.size) / any_value(t.size) as cosine from asked_weighed a join weighed b using (g) join asked_sizes s using (key) join sizes t using (entity_id) group by 1, 2)"""
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who supplies what (a line item each; equal ones are one edge), and where suppliers and customers are.
 

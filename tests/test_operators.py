@@ -202,7 +202,7 @@ def test_guarded_state_changes(spark):
 def test_fuzzy_resolution(spark):
     names = spark.createDataFrame([("acme corp", "Acme Corp"), ("corp acme", "Corp Acme"), ("zz", "ZZ"), ("brand new", "Brand New")], "key string, name string")
     entities = spark.createDataFrame([(1, "Acme Corp"), (2, "Other"), (3, "zz top")], "entity_id long, name string")
-    got = {r.key: (r.how, r.entity_id) for r in I.resolve_entities(names, entities, I.shared_word_pool(names, entities)).collect()}
+    got = {r.key: (r.how, r.entity_id) for r in I.resolve_entities(names, entities, I.entity_pool(names, entities)).collect()}
     assert got["acme corp"] == ("exact", 1) and got["corp acme"] == ("fuzzy", 1) and got["zz"][0] == got["brand new"][0] == "new"
 
 
