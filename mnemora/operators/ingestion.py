@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import cache
 
 import pandas as pd
@@ -10,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemora.functions.chunking import once, packed_turns, text_pieces
 from mnemora.functions.fuzzy import sorted_words, token_sort_ratio_column
-from mnemora.functions.text import casefold, collapse, relation_name, word_count
+from mnemora.functions.text import casefold, collapse, relation_name, without_nul, word_count
 from mnemora.functions.times import parse_iso
 from mnemora.functions.vectors import unit_score
 from mnemora.operators.lifecycle import insert_if_absent
@@ -63,87 +63,45 @@ def turns_of(sources: DataFrame) -> DataFrame:
     return clean.select("source_id", (F.row_number().over(W.partitionBy("source_id").orderBy("part")) - 1).cast("long").alias("turn"), "content")
 
 
-def atoms(text: str, most: int = TEXT_MAX) -> list[str]:
-    """Pieces of at most `most` characters, cut at the coarsest separator that there is."""
-    if len(text) <= most:
-        return [text]
-    for mark in ("\n\n", "\n", ". ", " "):
-        parts = [p for p in text.split(mark) if p]
-        if len(parts) > 1:
-            return [a for p in parts for a in atoms(p, most)]
-    return [text[i : i + most] for i in range(0, len(text), most)]
-
-
-def text_chunks(text: str, target: int = TEXT_TARGET, most: int = TEXT_MAX) -> list[str]:
-    """Pieces joined by newlines up to `target` characters."""
-    text = text.strip()
-    if len(text) <= target:
-        return [text] if text else []
-    out = []
-    for atom in atoms(text, most):
-        if out and len(out[-1]) + 1 + len(atom) <= target:
-            out[-1] += "\n" + atom
-        else:
-            out.append(atom)
-    return out
-
-
-def packed_turns(turns: list[str], most: int = CONVERSATION_MAX) -> list[str]:
-    """A segment's turns in pieces of at most `most` characters; a longer turn is cut by itself."""
-    whole = "\n".join(turns)
-    if len(whole) <= most:
-        return [whole]
-    out, current = [], None
-    for turn in turns:
-        if len(turn) > most:
-            out += ([current] if current is not None else []) + atoms(turn, most)
-            current = None
-        elif current is not None and len(current) + 1 + len(turn) <= most:
-            current += "\n" + turn
-        else:
-            out += [current] if current is not None else []
-            current = turn
-    return out + ([current] if current is not None else [])
-
-
 def chunk_conversation(turns: DataFrame, segment: int = SEGMENT, most: int = CONVERSATION_MAX) -> DataFrame:
     """(source_id, sequence, content, context): windows of `segment` turns; the context is the end of the window before."""
-
-    @F.pandas_udf("array<string>")
-    def pack(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: packed_turns(list(p), most))
-
     windows = turns.groupBy("source_id", F.floor(F.col("turn") / segment).alias("segment")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "content"))), lambda t: t["content"]).alias("turns"))
     whole = F.array_join("turns", "\n")
     tail = F.when(F.length(whole) <= most, whole).otherwise(F.substring(whole, -most, most))
     by_source = W.partitionBy("source_id").orderBy("segment")
-    windows = windows.withColumns({"context": F.lag(tail).over(by_source), "pieces": F.when(F.length(whole) <= most, F.array(whole)).otherwise(pack("turns"))})
+    windows = windows.withColumns({"context": F.lag(tail).over(by_source), "pieces": packed_turns(F.col("turns"), most)})
     pieces = windows.withColumn("before", F.coalesce(F.sum(F.size("pieces")).over(by_source.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     cut = pieces.select("source_id", "before", "context", F.posexplode("pieces").alias("k", "content"))
     return cut.select("source_id", (F.col("before") + F.col("k")).cast("long").alias("sequence"), "content", "context")
 
 
 def chunk_text(sources: DataFrame, target: int = TEXT_TARGET, most: int = TEXT_MAX) -> DataFrame:
-    """(source_id, sequence, content) of prose; short texts never leave the JVM."""
+    """(source_id, sequence, content) of prose."""
+    texts = sources.select("source_id", stripped(F.coalesce("content", F.lit(""))).alias("content"))
+    return texts.select("source_id", F.posexplode(once(F.col("content"), lambda t: text_pieces(t, target, most))).alias("sequence", "content")).withColumn("sequence", F.col("sequence").cast("long"))
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: text_chunks(t, target, most))
 
-    text = stripped(F.coalesce("content", F.lit("")))
-    pieces = F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= target, F.array(text)).otherwise(split(text))
-    return sources.select("source_id", F.posexplode(pieces).alias("sequence", "content")).withColumn("sequence", F.col("sequence").cast("long"))
+def kind_of(sources: DataFrame) -> Column:
+    """The content type in lower case, `text` where there is none; a session id makes text a conversation."""
+    named = F.lower(F.coalesce("content_type", F.lit("text")))
+    return F.when(named.isin("text", "markdown") & F.col("session_id").isNotNull(), "conversation").otherwise(named)
 
 
 def chunk_sources(sources: DataFrame) -> DataFrame:
-    """All chunks: conversations (by content type, or a session id that is a string) and prose; unknown types give none."""
-    talk = (F.col("content_type") == "conversation") | F.col("session_id").isNotNull()
-    prose = ~F.coalesce(talk, F.lit(False)) & F.col("content_type").isin("text", "markdown")
-    a = chunk_conversation(turns_of(sources.where(talk))).withColumn("chunker", F.lit("conversation"))
-    b = chunk_text(sources.where(prose)).select("*", F.lit(None).cast("string").alias("context"), F.lit("recursive").alias("chunker"))
+    """All chunks: conversations (by content type, or a session id that is a string) and prose, without NUL characters.
+    Sources of other types have none, see unsupported()."""
+    rows = sources.select("source_id", without_nul(F.col("content")).alias("content"), kind_of(sources).alias("kind"))
+    a = chunk_conversation(turns_of(rows.where("kind = 'conversation'"))).withColumn("chunker", F.lit("conversation"))
+    b = chunk_text(rows.where("kind in ('text', 'markdown')")).select("*", F.lit(None).cast("string").alias("context"), F.lit("recursive").alias("chunker"))
     return a.unionByName(b)
 
 
+def unsupported(sources: DataFrame) -> DataFrame:
+    """(source_id, reason) of sources of no known content type, for the dead-letter table."""
+    rows = sources.select("source_id", "content_type", kind_of(sources).alias("kind")).where("kind not in ('text', 'markdown', 'conversation')")
+    return rows.select("source_id", F.concat(F.lit("unsupported content type: "), F.col("content_type")).alias("reason"))
+
+
 def oversized(chunks: DataFrame, most: int = MOST_CHUNKS) -> DataFrame:
     """Sources of too many chunks, for the dead-letter table."""
     return chunks.groupBy("source_id").agg(F.count("*").alias("chunks")).where(F.col("chunks") > most).withColumn("reason", F.lit("too_many_chunks"))

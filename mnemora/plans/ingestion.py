@@ -47,21 +47,57 @@ def conversation_windows(spark, sf_dir):
     return out.select("source_id", F.col("sequence").alias("segment"), F.length("content").cast("long").alias("n"))
 
 
-@query("chunk_conversation")
+# pieces that are too long are parted at one separator after the other; then they are packed one by one
+_BLANK = r"[\x09-\x0D\x20]+"
+
+
+def _parted(pieces: str) -> str:
+    for mark in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"):
+        parts = f"list_filter(string_split(a, {mark}), lambda p: p <> '')"
+        pieces = f"flatten(list_transform({pieces}, lambda a: case when length(a) <= 4000 or len({parts}) <= 1 then [a] else {parts} end))"
+    return f"flatten(list_transform({pieces}, lambda a: case when length(a) <= 4000 then [a] else list_transform(range(0, (length(a) + 3999) // 4000), lambda i: substr(a, i * 4000 + 1, 4000)) end))"
+
+
+PROSE = rf"""stripped as (select doc_id as source_id, regexp_replace(coalesce(text, ''), '^{_BLANK}|{_BLANK}$', '', 'g') as t from documents),
+prose as (select source_id, case when length(t) <= 2000 then [t] else {_parted("[t]")} end as p from stripped where t <> ''),
+packed(source_id, p, i, seq, cur) as (select source_id, p, 1, 0, p[1] from prose
+  union all select source_id, p, i + 1, case when length(cur) + 1 + length(p[i + 1]) <= 2000 then seq else seq + 1 end, case when length(cur) + 1 + length(p[i + 1]) <= 2000 then cur || chr(10) || p[i + 1] else p[i + 1] end from packed where i < len(p)),
+texts as (select source_id, seq::bigint as sequence, arg_max(cur, i) as content from packed group by 1, 2)"""
+TALKS = rf"""spoken as (select conv_id, line, row_number() over (partition by conv_id order by turn) - 1 as n from ({_LINES})),
+segments as (select conv_id, n // 4 as segment, string_agg(line, chr(10) order by n) as whole, list(line order by n) as lines from spoken group by 1, 2),
+cut as (select *, flatten(list_transform(lines, lambda x: case when length(x) <= 4000 then [struct_pack(t := x, alone := false)] else list_transform({_parted("[x]")}, lambda y: struct_pack(t := y, alone := true)) end)) as p,
+  right(lag(whole) over (partition by conv_id order by segment), 4000) as context from segments),
+joined(conv_id, segment, context, p, i, seq, cur) as (select conv_id, segment, context, p, 1, 0, p[1].t from cut
+  union all select conv_id, segment, context, p, i + 1, case when not p[i].alone and not p[i + 1].alone and length(cur) + 1 + length(p[i + 1].t) <= 4000 then seq else seq + 1 end,
+    case when not p[i].alone and not p[i + 1].alone and length(cur) + 1 + length(p[i + 1].t) <= 4000 then cur || chr(10) || p[i + 1].t else p[i + 1].t end from joined where i < len(p)),
+talks as (select conv_id as source_id, row_number() over (partition by conv_id order by segment, seq) - 1 as sequence, content, context from (select conv_id, segment, seq, any_value(context) as context, arg_max(cur, i) as content from joined group by 1, 2, 3))"""
+
+
+@query("chunk_conversation", T.oracle(TALKS)("select source_id, sequence, content, context from talks"))
 def chunk_conversation(spark, sf_dir):
     return I.chunk_conversation(I.turns_of(_talks(spark, sf_dir)))
 
 
-@query("chunk_text")
+@query("chunk_text", T.oracle(PROSE)("select source_id, sequence, content from texts"))
 def chunk_text(spark, sf_dir):
     return I.chunk_text(T.sources(spark, sf_dir))
 
 
-@query("chunk_sources")
+def _mixed(spark, sf_dir):
+    """Documents as prose, every 29th of a type that isn't known, and the conversations with ids below 0."""
+    kind = F.when(F.col("source_id") % 29 == 0, "pdf").otherwise(F.upper("content_type"))
+    d = T.sources(spark, sf_dir).select("source_id", "content", kind.alias("content_type"), F.lit(None).cast("string").alias("session_id"))
+    return d.unionByName(_talks(spark, sf_dir).withColumn("source_id", -1 - F.col("source_id")))
+
+
+@query("chunk_sources", T.oracle(PROSE, TALKS)("select source_id, sequence, content, null::varchar as context, 'recursive' as chunker from texts where source_id % 29 <> 0 union all select -1 - source_id, sequence, content, context, 'conversation' from talks"))
 def chunk_sources(spark, sf_dir):
-    d = T.sources(spark, sf_dir).select("source_id", "content", "content_type", F.lit(None).cast("string").alias("session_id"))
-    talks = _talks(spark, sf_dir).withColumn("source_id", -1 - F.col("source_id"))
-    return I.chunk_sources(d.unionByName(talks))
+    return I.chunk_sources(_mixed(spark, sf_dir))
+
+
+@query("unsupported_sources", "select doc_id as source_id, 'unsupported content type: pdf' as reason from documents where doc_id % 29 = 0")
+def unsupported_sources(spark, sf_dir):
+    return I.unsupported(_mixed(spark, sf_dir))
 
 
 @query("oversized_sources", T.oracle(T.CHUNKS)("select source_id, count(*) as chunks, 'too_many_chunks' as reason from chunks group by 1 having count(*) > 3"))

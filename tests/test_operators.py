@@ -120,19 +120,6 @@ def test_nearest_batch(spark):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
-def test_chunk_text():
-    assert I.text_chunks("  ") == [] and I.text_chunks(" short ") == ["short"]
-    assert I.atoms("x" * 10, 4) == ["xxxx", "xxxx", "xx"]
-    text = "\n\n".join("p%d " % i + "word " * 200 for i in range(6))
-    out = I.text_chunks(text)
-    assert all(len(c) <= 4000 for c in out) and "".join("".join(out).split()) == "".join(text.split())
-
-
-def test_packed_turns():
-    assert I.packed_turns(["a", "b"], 10) == ["a\nb"]
-    assert I.packed_turns(["aaaa", "bbbb", "cccccccccccc", "d"], 9) == ["aaaa\nbbbb", "ccccccccc", "ccc", "d"]
-
-
 def test_turns_and_windows(spark):
     text = "intro line\nUser: hello \nmore\n\nASSISTANT: hi\nuser: x\nsystem: y\ntool:z"
     s = spark.createDataFrame([(1, text, "conversation", None), (2, "just text", "text", None), (3, "a: b", "pdf", None), (4, "one\ntwo", "text", "s1")], "source_id long, content string, content_type string, session_id string")
