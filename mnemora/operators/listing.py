@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import encode_cursor
+from mnemora.operators.numbering import numbered_within
 
 MEMORY_SORTS = ["created_at", "event_time", "importance_score", "last_accessed_at", "access_frequency"]
 ENTITY_SORTS = ["name", "created_at", "degree"]
@@ -93,9 +94,17 @@ def with_owner_names(rows: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def in_batches(df: DataFrame, keys: list[str], order: list[str], size: int = 10) -> DataFrame:
-    """Numbers each key's rows into batches of `size`."""
-    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("batch_no", F.floor((n - 1) / size).cast("long"))
+    """Numbers each key's rows into batches of `size`; the rows of one key are spread over tasks."""
+    numbered = numbered_within(df, keys, order, "n_", "all_")
+    return numbered.withColumn("batch_no", F.expr(f"n_ div {size}")).drop("n_", "all_")
+
+
+def keyset_pages(df: DataFrame, at: str, key: str, limit: int = 5000) -> DataFrame:
+    """(page, rows, first and last cursor) of all pages that a scan in order of (at, key) reads one after the other."""
+    numbered = numbered_within(df.select(F.lit(0).alias("all"), at, key), ["all"], [at, key], "n_", "size_").withColumn("page", F.expr(f"n_ div {limit}"))
+    edge = F.struct(at, key)
+    pages = numbered.groupBy("page").agg(F.count("*").alias("rows"), F.min(edge).alias("first"), F.max(edge).alias("last"))
+    return pages.select("page", "rows", encode_cursor(F.col(f"first.{at}"), F.col(f"first.{key}")).alias("first_cursor"), encode_cursor(F.col(f"last.{at}"), F.col(f"last.{key}")).alias("last_cursor"))
 
 
 def key_list(keys: DataFrame, spaces: DataFrame) -> DataFrame:

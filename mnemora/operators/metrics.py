@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemora.operators.numbering import running_within
+
 MIN_SAMPLES = 100
 
 
@@ -16,11 +20,10 @@ def weighted_mean(keys: list[str], metrics: DataFrame, value: str = "value", wei
 def weighted_quantiles(metrics: DataFrame, keys: list[str], ps=(0.5, 0.95, 0.99), value: str = "value", weight: str = "weight") -> DataFrame:
     """Exact weighted quantiles without interpolation: the first value whose running weight reaches p of all.
 
-    Equal values are summed first, so the window runs over distinct values per key, not over the rows.
+    Equal values are summed first; running weights are taken by partition, so no task holds a key's values.
     """
     sums = metrics.groupBy(*keys, value).agg(F.sum(weight).alias("w_"))
-    part = W.partitionBy(*keys)
-    running = sums.withColumn("run_", F.sum("w_").over(part.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("all_", F.sum("w_").over(part))
+    running = running_within(sums, keys, [value], "w_", "run_", "all_")
     picks = [F.min(F.when(F.col("run_") >= p * F.col("all_"), F.col(value))).alias(f"p{round(100 * p)}") for p in ps]
     return running.groupBy(*keys).agg(F.max("all_").alias("samples"), *picks)
 
@@ -56,22 +59,46 @@ def nearest_rank(p: float, value: str) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
 
 
+def order_statistics(rows: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys, one column for each place): the values at places (from 1, of the number of values that aren't null) in
+    order. Equal values are counted first and places found by two-phase running counts, so a key of any size is spread
+    over tasks."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c_"))
+    running = running_within(counts, keys, [value], "c_", "run_", "all_")
+    here = lambda at: (F.col("run_") >= at) & (F.col("run_") - F.col("c_") < at)
+    return running.groupBy(*keys).agg(*[F.max(F.when(here(place(F.col("all_"))), F.col(value))).alias(name) for name, place in places.items()])
+
+
+def at_rank(p: float) -> Callable[[Column], Column]:
+    return lambda n: F.ceil(n * F.lit(p))
+
+
+def with_statistics(out: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Aggregates with the statistics of the same keys, null ones too."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & out[k].eqNullSafe(found[k])
+    return out.join(found, same, "left").select(*[out[c] for c in out.columns], *[found[c] for c in found.columns if c not in keys])
+
+
 def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    part = W.partitionBy(*keys)
-    numbered = rows.where(F.col(value).isNotNull()).withColumn("n_", F.row_number().over(part.orderBy(value))).withColumn("all_", F.count("*").over(part))
-    return numbered.where(F.col("n_") == F.floor(F.col("all_") / 2) + 1).select(*keys, F.col(value).alias("upper_median"))
+    return order_statistics(rows, keys, value, {"upper_median": lambda n: F.floor(n / 2) + 1})
 
 
 def latency_summary(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), nearest_rank(0.5, value).alias("p50"), nearest_rank(0.95, value).alias("p95"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.9)).alias("p90_linear")
-    )
+    place = lambda n: F.lit(0.9) * (n - 1)
+    found = order_statistics(rows, keys, value, {"p50": at_rank(0.5), "p95": at_rank(0.95), "low_": lambda n: F.floor(place(n)) + 1, "high_": lambda n: F.ceil(place(n)) + 1})
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.count(value).alias("there_"))
+    part = place(F.col("there_")) - F.floor(place(F.col("there_")))
+    linear = F.col("low_") * (1 - part) + F.col("high_") * part
+    return with_statistics(out, found, keys).select(*keys, "n", "min", "p50", "p95", "max", "mean", linear.alias("p90_linear"))
 
 
 def windowed(spans: DataFrame, step: str, keys: list[str], at: str = "ts", value: str = "value") -> DataFrame:
     """Counts, sums, means and quantiles per tumbling window and key."""
-    g = spans.groupBy(F.window(at, step).alias("w"), *keys)
-    out = g.agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), nearest_rank(0.5, value).alias("p50"), nearest_rank(0.95, value).alias("p95"))
+    rows = spans.select(F.window(at, step).alias("w"), *keys, value)
+    out = rows.groupBy("w", *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    out = with_statistics(out, order_statistics(rows, ["w", *keys], value, {"p50": at_rank(0.5), "p95": at_rank(0.95)}), ["w", *keys])
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
     return out.withColumn("rate", F.col("n") / seconds).withColumn("start", F.unix_timestamp("w.start")).drop("w")
 

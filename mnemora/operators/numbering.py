@@ -20,16 +20,39 @@ def numbered_within(df: DataFrame, key: list[str], order: list[str | Column], in
     count per key then gives an offset, which is added. `order` should tell all different rows apart: rows that it
     doesn't are numbered as they come. Nulls are a key like any other, and come first.
     """
-    at, block, first, n, before = (_free(df, x) for x in ("at", "block", "first", "n", "before"))
-    placed = save(df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn(at, F.monotonically_increasing_id()), "numbered")
-    placed = placed.withColumn(block, F.shiftright(at, BLOCK_BITS))
-    parts = placed.groupBy(*key, block).agg(F.min(at).alias(first), F.count("*").alias(n))
-    so_far = W.partitionBy(*key)
-    parts = parts.select(*[F.col(k).alias(f"{k}{n}") for k in key], F.col(block).alias(before + block), first, (F.sum(n).over(so_far.orderBy(block)) - F.col(n)).alias(before), F.sum(n).over(so_far).alias(size))
-    same = F.col(block) == F.col(before + block)
+    at, block, first, before = (_free(df, x) for x in ("at", "block", "first", "before"))
+    placed = _placed(df, key, order, at, block, save)
+    met = _with_offsets(placed, key, block, F.count("*"), before, size, {first: F.min(at)})
+    return met.select(*df.columns, (F.col(before) + F.col(at) - F.col(first)).alias(index), F.col(size).cast("long").alias(size))
+
+
+def running_within(df: DataFrame, key: list[str], order: list[str | Column], weight: str, run: str = "run", total: str = "total", save: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """The rows with the running sum of a weight within their key, themselves included, and the key's whole sum; by
+    partition first, as in numbered_within()."""
+    at, block, before = (_free(df, x) for x in ("at", "block", "before"))
+    placed = _placed(df, key, order, at, block, save)
+    own = F.sum(weight).over(W.partitionBy(*key, block).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow))
+    met = _with_offsets(placed.withColumn(run, own), key, block, F.sum(weight), before, total, {})
+    return met.select(*df.columns, (F.col(before) + F.col(run)).alias(run), total)
+
+
+def _placed(df: DataFrame, key: list[str], order: list[str | Column], at: str, block: str, save: Callable) -> DataFrame:
+    """The rows in order, with their partition and a number that rises in it."""
+    rows = save(df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    return rows.withColumn(block, F.shiftright(at, BLOCK_BITS))
+
+
+def _with_offsets(rows: DataFrame, key: list[str], block: str, measure: Column, before: str, total: str, more: dict[str, Column]) -> DataFrame:
+    """The rows with what the key's earlier partitions and all of them have: one row a key and partition."""
+    names = {k: f"{before}_{k}" for k in [*key, block]}
+    parts = rows.groupBy(*key, block).agg(measure.alias(before), *[c.alias(n) for n, c in more.items()])
+    own = W.partitionBy(*key)
+    sums = (F.sum(before).over(own.orderBy(block)) - F.col(before)).alias(before), F.sum(before).over(own).alias(total)
+    parts = parts.select(*[F.col(k).alias(n) for k, n in names.items()], *more, *sums)
+    same = F.col(block) == F.col(names[block])
     for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}{n}"))
-    return placed.join(parts, same).select(*df.columns, (F.col(before) + F.col(at) - F.col(first)).alias(index), F.col(size).cast("long").alias(size))
+        same = same & F.col(k).eqNullSafe(F.col(names[k]))
+    return rows.join(parts, same)
 
 
 def _free(df: DataFrame, name: str) -> str:

@@ -190,6 +190,19 @@ def grant_impact(spark, sf_dir):
     return V.grant_impact(T.members(spark, sf_dir), T.grants(spark, sf_dir), 4, 5)
 
 
+_AFTER = CLOSURE.replace("reached", "after").replace("from after r join grants", "from after r join (select * from grants union all select 4, 5) ")
+
+
+@query("grant_impact_groups", T.oracle(T.GROUPS, CLOSURE, _AFTER)("select root as viewer_group, group_id as subject_group, (select count(*) from members m where m.group_id = a.root) as viewers, (select count(*) from members m where m.group_id = a.group_id) as users from after a where (root, group_id) not in (select (root, group_id) from reached)"))
+def grant_impact_groups(spark, sf_dir):
+    return V.grant_impact_groups(T.members(spark, sf_dir), T.grants(spark, sf_dir), 4, 5)
+
+
+@query("grant_impact_counts", T.oracle(T.GROUPS, CLOSURE, _AFTER)("select viewer, count(*) as gained from (select v.user_id as viewer, m.user_id from members v join after r on r.root = v.group_id join members m on m.group_id = r.group_id except select v.user_id, m.user_id from members v join reached r on r.root = v.group_id join members m on m.group_id = r.group_id) group by 1"))
+def grant_impact_counts(spark, sf_dir):
+    return V.grant_impact_counts(T.members(spark, sf_dir), T.grants(spark, sf_dir), 4, 5)
+
+
 @query("group_member_counts", T.oracle(T.GROUPS)("select group_id, count(*) as members from members group by 1"))
 def group_member_counts(spark, sf_dir):
     return V.member_counts(T.members(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mnemora.functions import documents as N
+from mnemora.functions.text import decode_cursor
 from mnemora.operators import audit as A
 from mnemora.operators import lifecycle as C
 from mnemora.operators import listing as L
@@ -152,6 +153,16 @@ def redrive_batches(spark, sf_dir):
     return C.redrive_plan(T.sources(spark, sf_dir), T.spaces(spark), T.at()).select("source_id", "action", "batch_no")
 
 
+@query("keyset_pages", """select page, count(*) as rows, min(us) as first_us, max(us) as last_us, (min((us, event_id)))[2] as first_id, (max((us, event_id)))[2] as last_id from (select *, (row_number() over (order by us, event_id) - 1) // 5000 as page
+  from (select event_id, epoch_us(ts) as us from events)) group by 1""")
+def keyset_pages(spark, sf_dir):
+    """All pages of 5,000 that a scan of the events in order of time reads, from their cursors."""
+    e = T.table(spark, sf_dir, "events", "event_id", "ts").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ends = L.keyset_pages(e, "us", "event_id")
+    part = lambda c, k: decode_cursor(F.col(c))[k].cast("long")
+    return ends.select("page", "rows", part("first_cursor", "at").alias("first_us"), part("last_cursor", "at").alias("last_us"), part("first_cursor", "key").alias("first_id"), part("last_cursor", "key").alias("last_id"))
+
+
 @query("job_batches", src("select source_id, (row_number() over (partition by org_id, space_id order by source_id) - 1) // 10 as batch_no from sources"))
 def job_batches(spark, sf_dir):
     return C.job_batches(T.sources(spark, sf_dir)).select("source_id", "batch_no")

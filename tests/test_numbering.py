@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from mnemora.operators.numbering import numbered_within
+from mnemora.operators.metrics import latency_summary, upper_median
+from mnemora.operators.numbering import numbered_within, running_within
 from mnemora.sources.scratch import written
 
 
@@ -41,3 +42,30 @@ def test_one_key_spans_many_tasks(spark):
 
 def test_nothing(spark):
     assert numbered_within(spark.range(0).selectExpr("1 as k", "id"), ["k"], ["id"]).isEmpty()
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", None, "b"]), i, rng.randrange(5)) for i in range(3000)]
+    got = running_within(spark.createDataFrame(rows, "k string, id long, w int").repartition(6), ["k"], ["id"], "w").collect()
+    for key in {r[0] for r in rows}:
+        mine = sorted(r for r in rows if r[0] == key)
+        want, total = [], 0
+        for r in mine:
+            total += r[2]
+            want.append((r[1], total))
+        here = sorted((g.id, g.run) for g in got if g.k == key)
+        assert here == want and {g.total for g in got if g.k == key} == {total}
+
+
+def test_order_statistics_of_a_key_of_a_million_values(spark):
+    big = spark.range(1_000_000).selectExpr("'big' as k", "cast(id * 7919 % 1000003 as double) as value")
+    small = spark.createDataFrame([("small", 3.0), ("small", 1.0), ("small", None), (None, 5.0), ("none", None)], "k string, value double")
+    got = {r.k: r for r in latency_summary(big.unionByName(small), ["k"]).collect()}
+    values = sorted(i * 7919 % 1000003 for i in range(1_000_000))
+    assert (got["big"].p50, got["big"].p95, got["big"].n) == (values[499_999], values[949_999], 1_000_000)
+    assert abs(got["big"].p90_linear - (values[899_999] + 0.1 * (values[900_000] - values[899_999]))) < 1e-6
+    assert (got["small"].p50, got["small"].p95, got["small"].n, round(got["small"].p90_linear, 9)) == (1.0, 3.0, 3, 2.8)
+    assert got[None].p50 == 5.0 and got["none"].p50 is None and got["none"].n == 1
+    median = {r.k: r.upper_median for r in upper_median(big.unionByName(small), ["k"], "value").collect()}
+    assert median == {"big": values[500_000], "small": 3.0, None: 5.0}
