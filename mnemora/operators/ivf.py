@@ -94,24 +94,42 @@ def nearest_probed(index: VectorIndex, query: list[float], k: int = POOL, min_sc
 
 
 def nearest_probed_batch(index: VectorIndex, queries: DataFrame, k: int = POOL, min_score: float = MIN_SCORE, rows: int | None = None) -> DataFrame:
-    """As nearest_batch(): a query goes to the cells it probes, cells of many rows or queries are split."""
+    """As nearest_batch(): neighbouring lists share a cell of about `rows` vectors, a longer list is split; a query goes
+    once to each cell in which it probes a list, and keeps its best k there."""
     rows = rows or cell_rows(index.rows)
-    shared, probes = queries.sparkSession.sparkContext.broadcast(index.centroids), index.probes
+    spark = queries.sparkSession
+    sizes = {r.cell: r.n for r in index.sizes.collect()}  # at most MOST_CELLS rows
+    groups, parts, filled = np.zeros(len(index.centroids), dtype=np.int64), {}, 0
+    for one in sorted(sizes):  # lists side by side until a cell is full
+        groups[one] = len(parts) - 1 if parts and filled + sizes[one] <= rows else len(parts)
+        filled = sizes[one] if groups[one] == len(parts) else filled + sizes[one]
+        parts[int(groups[one])] = max(1, -(-filled // rows))
+    shared, probes = spark.sparkContext.broadcast((index.centroids, groups)), index.probes
 
     def probe(batches):
         for batch in batches:
             good, x = _rows(batch, "embedding")
-            if len(good) and len(shared.value):
-                cells = np.argsort(-(_unit(x) @ shared.value.T), axis=1, kind="stable")[:, :probes]
-                part = batch.take(pa.array(np.repeat(good, cells.shape[1])))
-                yield pa.record_batch([*part.columns, pa.array(cells.ravel().astype(np.int32))], names=[*part.schema.names, "cell"])
+            at, group = shared.value
+            if not len(good) or not len(at):
+                continue
+            lists = np.argsort(-(_unit(x) @ at.T), axis=1, kind="stable")[:, :probes]
+            met, goes, probed = [], [], []
+            for i, own in enumerate(lists):
+                for g in np.unique(group[own]):
+                    met.append(good[i])
+                    goes.append(g)
+                    probed.append(own[group[own] == g].tolist())
+            part = batch.take(pa.array(np.array(met)))
+            yield pa.record_batch([*part.columns, pa.array(np.array(goes, dtype=np.int32)), pa.array(probed, pa.list_(pa.int32()))], names=[*part.schema.names, "cell", "probed"])
 
     q = asked_of(queries, k, min_score).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("k").cast("int").alias("k"), F.col("min_score").cast("double").alias("min_score"))
-    q = written(q.mapInArrow(probe, "query_id long, embedding array<double>, k int, min_score double, cell int"), "probes")
-    weights = index.sizes.join(q.groupBy("cell").agg(F.count("*").alias("asked")), "cell")  # at most MOST_CELLS rows
-    weights = F.broadcast(weights)
-    left = index.rows.join(weights, "cell").select("cell", index.key, "embedding", dealt(F.col("n"), rows, index.key).alias("part"), each_part(F.col("asked"), rows).alias("block"))
-    right = q.join(weights, "cell").select("*", dealt(F.col("asked"), rows, "query_id").alias("block")).select("*", each_part(F.col("n"), rows).alias("part"))
+    n = q.count()
+    q = q.mapInArrow(probe, "query_id long, embedding array<double>, k int, min_score double, cell int, probed array<int>")
+    table = spark.createDataFrame([(one, int(groups[one]), parts[int(groups[one])]) for one in sorted(sizes)], "list int, cell int, parts int")
+    vectors = index.rows.withColumnRenamed("cell", "list").join(F.broadcast(table), "list")  # at most MOST_CELLS rows
+    left = vectors.select("list", "cell", index.key, "embedding", F.pmod(F.xxhash64(index.key), F.col("parts")).cast("int").alias("part"), each_part(n, rows).alias("block"))
+    split = F.broadcast(table.select("cell", "parts").distinct())
+    right = q.join(split, "cell").select("*", dealt(n, rows, "query_id").alias("block")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return met_in_cells(left, right, ["cell", "part", "block"], index.key)
 
 

@@ -61,20 +61,43 @@ def _best_of_cell(vectors: pa.Table, queries: pa.Table, key: str) -> pa.Table:
         keep = place < top[q]
         return [q[keep], v[keep], s[keep]]
 
-    for lo in range(0, len(x), 1024):
-        score = unit @ _unit(x[lo : lo + 1024]).T
-        q, v = np.nonzero(score >= least[:, None])
-        held.append([q, keys[lo + v], score[q, v]])
-        if sum(len(h[0]) for h in held) > 2_000_000:
-            held[:] = [cut()]
+    for rows, probing in _meetings(vectors, queries, own, asked):
+        for lo in range(0, len(rows), 1024):
+            part = rows[lo : lo + 1024]
+            score = unit[probing] @ _unit(x[part]).T
+            q, v = np.nonzero(score >= least[probing][:, None])
+            held.append([probing[q], keys[part[v]], score[q, v]])
+            if sum(len(h[0]) for h in held) > 2_000_000:
+                held[:] = [cut()]
+    if not held:
+        return empty
     q, v, s = cut()
     return pa.table({"query_id": pa.array(ids[q], pa.int64()), key: pa.array(v, pa.int64()), "score": pa.array(s, pa.float64()), "k": pa.array(top[q], pa.int32())})
 
 
+def _meetings(vectors: pa.Table, queries: pa.Table, own: np.ndarray, asked: np.ndarray):
+    """(vectors, queries) that meet: all of them, or, where queries name `probed` ones of the vectors' lists, list by list."""
+    if "probed" not in queries.column_names:
+        yield np.arange(len(own)), np.arange(len(asked))
+        return
+    of_vector = vectors.column("list").to_numpy()[own]
+    probed = queries.column("probed").combine_chunks()
+    probed = [np.asarray(probed[int(i)].values) for i in asked]
+    of_probe = np.repeat(np.arange(len(asked)), [len(p) for p in probed])
+    flat = np.concatenate(probed)
+    order, by_list = np.argsort(of_vector, kind="stable"), np.argsort(flat, kind="stable")
+    lists, lo = np.unique(of_vector[order], return_index=True)
+    ends = [np.searchsorted(flat[by_list], lists, side) for side in ("left", "right")]
+    for lo, hi, a, b in zip(lo, [*lo[1:], len(order)], *ends, strict=True):
+        if a < b:
+            yield order[lo:hi], of_probe[by_list[a:b]]
+
+
 def met_in_cells(vectors: DataFrame, queries: DataFrame, cell: list[str], key: str) -> DataFrame:
     """(query_id, key, score, rank) of the best k over all cells: both sides' rows carry the columns of their cell."""
-    left = vectors.select(*cell, F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).groupBy(*cell)
-    right = queries.select(*cell, F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("k").cast("int").alias("k"), F.col("min_score").cast("double").alias("min_score")).groupBy(*cell)
+    extra = [c for c in ("list",) if c in vectors.columns], [c for c in ("probed",) if c in queries.columns]
+    left = vectors.select(*cell, *extra[0], F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("embedding")).groupBy(*cell)
+    right = queries.select(*cell, *extra[1], F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("k").cast("int").alias("k"), F.col("min_score").cast("double").alias("min_score")).groupBy(*cell)
     found = left.cogroup(right).applyInArrow(lambda v, q: _best_of_cell(v, q, key), f"query_id long, {key} long, score double, k int")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key)).cast("long"))
     return ranked.where(F.col("rank") <= F.col("k")).drop("k")

@@ -13,6 +13,7 @@ from mnemora.functions.times import MONTHS, WEEKDAYS, temporal_range_column
 from mnemora.operators import ivf, knn
 from mnemora.operators import ranking as R
 from mnemora.operators import signals as S
+from mnemora.operators.keyword import opened
 from mnemora.operators.scope import hydrate
 from mnemora.plans import search as P
 from mnemora.plans import tables as T
@@ -139,7 +140,7 @@ def vector_store_rewrite(spark, sf_dir):
   (select memory_id, regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+') as w from memories)) where length(w) <= 64 and w not in ({", ".join(f"'{w}'" for w in STOPPED.split())}) group by 1"""))
 def keyword_index(spark, sf_dir):
     """What the index, once written, holds of each memory."""
-    rows = T.keyword_index(spark, sf_dir)
+    rows = opened(T.keyword_index(spark, sf_dir))
     total = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)
     return rows.groupBy("memory_id").agg(F.first("n_words").alias("n_words"), F.sum(total).alias("places"))
 
