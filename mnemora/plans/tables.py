@@ -63,7 +63,7 @@ def keyword_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The memories' keyword index, written once a session."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _INDEXES:
-        _INDEXES[key] = build_index(memories(spark, sf_dir))
+        _INDEXES[key] = build_index(table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("memory_id"), F.coalesce("text", F.lit("")).alias("content")))
     return _INDEXES[key]
 
 
