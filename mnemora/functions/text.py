@@ -50,16 +50,15 @@ INTENTS = [
 ]
 
 # fixed values: queries that only look as if they named a time
-PERSON = r"(?!.+\b(i|me|my|mine|myself|we|us|our|ours|user)\b)"
 NON_TEMPORAL = [
     r"\bcurrent version\b",
     r"\bcurrent code\b",
     r"\bcurrent directory\b",
     r"\bcurrent working\b",
     r"\bcurrent (file|project|repo|repository|branch|folder|path)\b",
-    rf"\bhow (to|do|can|does|should)\b{PERSON}",
-    rf"\bexplain\b{PERSON}",
-    rf"\bdefine\b{PERSON}",
+    r"\bhow (to|do|can|does|should)\b(?!.+\b(i|me|my|mine|myself|we|us|our|ours|user)\b)",
+    r"\bexplain\b(?!.+\b(i|me|my|mine|myself|we|us|our|ours|user)\b)",
+    r"\bdefine\b(?!.+\b(i|me|my|mine|myself|we|us|our|ours|user)\b)",
 ]
 
 MAX_TERMS, MAX_TERM_LENGTH = 96, 64
