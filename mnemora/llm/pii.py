@@ -326,7 +326,8 @@ def replaced(text: str, spans: list[dict]) -> str:
 def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """The documents with base spans replaced by [KIND], generalised terms by [TERM], removed terms by nothing."""
     taken = {c.lower() for c in docs.columns}
-    spans, key = (next(n for k in range(len(taken) + 1) if (n := name + "_" * k) not in taken) for name in ("spans", "row"))
+    free = lambda name, *ends: next(n for k in range(len(taken) + 1) if not {(n := name + "_" * k) + e for e in ("", *ends)} & taken)
+    spans, key = free("spans"), free("row", "d", "r")
     with Work(docs.sparkSession, "sanitise") as work:
         found = find_pii(docs, work, **thresholds).where((F.size("base") > 0) | (F.size("terms") > 0))
         bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1).alias("by")))

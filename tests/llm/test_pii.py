@@ -93,3 +93,10 @@ def test_terms_are_found_far_from_the_entity_and_without_it(spark):
     assert text[50] == "about nothing: [TERM] again" and text[0].endswith("(((())))" + " left") and text[0].startswith("[TERM]!!!!")
     twice = span_report(docs.withColumn("doc_id", F.when(F.col("doc_id") >= 6, F.col("doc_id"))).union(docs.where("doc_id < 6")))
     assert twice.count() == 93
+
+
+def test_columns_with_the_names_that_the_join_uses(spark):
+    rows = [(1, "write to ann.lee@mail.example now", "a", "b", "c", "d"), (2, "nothing here", "e", "f", "g", "h"), (3, None, "i", "j", "k", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rowd string, rowr string, row_ string, spans string")
+    out = {r.doc_id: tuple(r) for r in sanitise(docs).collect()}
+    assert out == {1: (1, "write to [EMAIL] now", *rows[0][2:]), 2: rows[1], 3: rows[2]}
