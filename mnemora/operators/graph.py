@@ -125,6 +125,93 @@ def graph_signal(g: GraphTables, seeds: DataFrame, scope: TenantScope, now: Colu
     return scored.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "memory_id")).cast("long")).select("memory_id", "rank", "score")
 
 
+# --- many requests at once ----------------------------------------------------------------------
+
+
+def seeds_by_names(entities: DataFrame, texts: DataFrame, limit: int = SEEDS_EACH) -> DataFrame:
+    """(query, entity_id, relevance): seeds_by_name() for each text of a table (query).
+
+    A share depends only on which of the asked words a name has. Entities that have the same ones count as one set,
+    of which the `limit` smallest ids stand for all, so a word that very many names have is met once a text.
+    """
+    asked = texts.select("query", tokenize(F.col("query")).alias("words"))
+    words = asked.select("query", F.size("words").alias("size"), F.explode("words").alias("word"))
+    own = entities.select("entity_id", F.explode(tokenize(F.col("name"))).alias("word")).join(words.select("word").distinct(), "word", "left_semi")
+    sets = own.groupBy("entity_id").agg(F.sort_array(F.collect_set("word")).alias("have"))
+    sets = sets.withColumn("n_", F.row_number().over(W.partitionBy("have").orderBy("entity_id"))).where(F.col("n_") <= limit)
+    sets = sets.groupBy("have").agg(F.collect_list("entity_id").alias("ids"))
+    met = sets.select("have", "ids", F.explode("have").alias("word")).join(words, "word").groupBy("query", "have").agg((F.count("*") / F.first("size")).alias("share"), F.first("ids").alias("ids"))
+    rows = met.select("query", F.explode("ids").alias("entity_id"), "share")
+    top = rows.withColumn("n_", F.row_number().over(W.partitionBy("query").orderBy(F.desc("share"), "entity_id"))).where(F.col("n_") <= limit)
+    return top.select("query", "entity_id", (F.col("share") / F.max("share").over(W.partitionBy("query"))).alias("relevance"))
+
+
+def top_seeds_each(seeds: DataFrame, most: int = SEEDS) -> DataFrame:
+    """top_seeds() of each query_id. Relevance has nine digits, so what is equal but for the order of sums ties."""
+    best = seeds.groupBy("query_id", "entity_id").agg(F.round(F.max("relevance"), 9).alias("relevance"))
+    ranked = best.withColumn("n_", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("relevance"), "entity_id")))
+    return ranked.where(F.col("n_") <= most).drop("n_")
+
+
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """A row for each end of an edge: anchor, the other end, and its side (0: the anchor is the source). A loop has one."""
+    end = lambda a, b, side: F.struct(F.col(a).alias("anchor"), F.col(b).alias("other"), F.lit(side).alias("side"))
+    ends = F.explode(F.array(end("source_id", "target_id", 0), end("target_id", "source_id", 1))).alias("e")
+    rows = edges.select("edge_id", "memory_id", "confidence", "valid_from", "recorded_at", "at", ends)
+    return rows.select("*", "e.*").drop("e").where("side = 0 or anchor <> other")
+
+
+def edges_for_each(ends: DataFrame, frontier: DataFrame, cap: int = EDGES_PER_HOP) -> DataFrame:
+    """edges_for() of each query of a frontier (query_id, as_of, entity_id, relevance).
+
+    What a query keeps are among the newest `cap` edges of each of its entities as of its time, so these are cut for
+    each entity and time before they meet the queries.
+    """
+    newest = F.desc("at"), F.desc("edge_id")
+    asked = frontier.select(F.col("entity_id").alias("anchor"), "as_of").distinct()
+    near = ends.join(asked, "anchor").where("as_of is null or at <= as_of")
+    near = near.withColumn("n_", F.row_number().over(W.partitionBy("anchor", "as_of").orderBy(*newest))).where(F.col("n_") <= cap).drop("n_")
+    wanted = frontier.select("query_id", F.col("entity_id").alias("anchor_"), F.col("as_of").alias("as_of_"), "relevance")
+    met = near.join(wanted, (F.col("anchor") == F.col("anchor_")) & F.col("as_of").eqNullSafe(F.col("as_of_")))
+    kept = ["memory_id", "confidence", "valid_from", "recorded_at", "at", "other", "relevance"]
+    one = met.groupBy("query_id", "edge_id").agg(F.min_by(F.struct(*kept), "side").alias("e")).select("query_id", "edge_id", "e.*")
+    return one.withColumn("ordinal", F.row_number().over(W.partitionBy("query_id").orderBy(*newest)).cast("long")).where(F.col("ordinal") <= cap)
+
+
+def walk_each(g: GraphTables, seeds: DataFrame, requests: DataFrame, scope: TenantScope, now: Column, budget: int = MEMORY_BUDGET) -> DataFrame:
+    """(query_id, memory_id, score): walk() of each query, with its own frontier, cap and visited entities.
+
+    seeds: (query_id, entity_id, relevance); requests: (query_id, as_of, depth). Of what a seed links directly only its
+    `budget` smallest memories are kept: all of an entity's have the same score and ties go to the smaller id, so the
+    best `budget` of a query, and whether it has as many, stay the same.
+    """
+    ends = edge_ends(usable_edges(g.edges, scope))
+    asked = requests.where("depth > 0").select("query_id", "as_of", "depth")
+    seeds = seeds.join(asked, "query_id")
+    links = memories_of_entities(g, seeds, scope).withColumn("n_", F.row_number().over(W.partitionBy("entity_id").orderBy("memory_id"))).where(F.col("n_") <= budget).drop("n_")
+    scores = written(links.join(seeds, "entity_id").groupBy("query_id", "memory_id").agg(F.max("relevance").alias("score")), "scores")
+    frontier, visited = seeds, seeds.select("query_id", "entity_id")
+    for d in range(1, MAX_DEPTH + 1):
+        full = scores.groupBy("query_id").agg(F.count("*").alias("n_")).where(F.col("n_") >= budget)
+        frontier = frontier.where(F.col("depth") >= d).join(full, "query_id", "left_anti")
+        gain = F.coalesce("confidence", F.lit(1.0)) * F.exp(F.lit(-DECAY * d)) * F.col("relevance") * edge_recency(F.col("valid_from"), F.col("recorded_at"), now)
+        hop = written(edges_for_each(ends, frontier).select("query_id", "memory_id", "other", gain.alias("score")), "hop")
+        reached = hop.where(F.col("memory_id").isNotNull() & (F.col("score") > 0)).select("query_id", "memory_id", "score")
+        scores = scores.unionByName(reached).groupBy("query_id", "memory_id").agg(F.max("score").alias("score"))
+        frontier = hop.groupBy("query_id", F.col("other").alias("entity_id")).agg(F.max("score").alias("relevance")).join(visited, ["query_id", "entity_id"], "left_anti").join(asked, "query_id")
+        visited = visited.unionByName(frontier.select("query_id", "entity_id"))
+    return scores
+
+
+def graph_signal_each(g: GraphTables, seeds: DataFrame, requests: DataFrame, scope: TenantScope, now: Column, limit: int = 50) -> DataFrame:
+    """(query_id, memory_id, rank, score): graph_signal() of each query."""
+    seen = walk_each(g, seeds, requests, scope, now).join(active(scoped(g.memories, scope)).select("memory_id"), "memory_id", "left_semi")
+    own = W.partitionBy("query_id")
+    best = seen.withColumn("rank", F.row_number().over(own.orderBy(F.desc("score"), "memory_id")).cast("long")).where(F.col("rank") <= limit)
+    top = F.max("score").over(own)
+    return best.select("query_id", "memory_id", "rank", F.when(top > 0, F.col("score") / top).otherwise(F.col("score")).alias("score"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(entity_id, degree): edges at either end; a loop counts at both."""
     ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("entity_id"))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.text import bounded_terms
 from mnemora.functions.times import proximity
-from mnemora.operators.keyword import KEYWORD_POOL, MIN_KEYWORD, build_index, keyword_matches, parse_query, query_terms, top_matches
+from mnemora.operators.keyword import KEYWORD_POOL, MIN_KEYWORD, build_index, keyword_matches, parse_query, query_terms, terms_table, top_matches
 from mnemora.operators.knn import MIN_SCORE, POOL, nearest
 from mnemora.operators.scope import TenantScope, active, scoped
 
 TEMPORAL_LIMIT = 50
-__all__ = ["keyword_signal", "match_terms", "memory_time", "parse_query", "ranked", "semantic_signal", "temporal_signal"]
+__all__ = ["keyword_signal", "keyword_signal_each", "match_terms", "memory_time", "parse_query", "ranked", "semantic_signal", "temporal_signal", "temporal_signal_each"]
 
 
 def ranked(df: DataFrame, *order) -> DataFrame:
@@ -62,3 +62,37 @@ def temporal_signal(memories: DataFrame, scope: TenantScope, start: datetime, en
     rows = rows.withColumn("distance", F.abs(F.unix_micros("at") - centre))
     top = rows.orderBy("distance", F.desc("memory_id")).limit(min(limit, TEMPORAL_LIMIT))
     return ranked(top, "distance", F.desc("memory_id")).select("memory_id", "rank", proximity(F.col("at"), lo, hi).alias("score"))
+
+
+# --- many requests at once ----------------------------------------------------------------------
+
+
+def keyword_signal_each(memories: DataFrame, requests: DataFrame, scope: TenantScope, index: DataFrame | None = None, limit: int = POOL) -> DataFrame:
+    """(query_id, memory_id, rank, score): keyword_signal() of each (query_id, query); equal texts are asked once."""
+    texts = requests.groupBy("query").agg(F.min("query_id").alias("query_id"))
+    seen = active(scoped(memories, scope)).select("memory_id")
+    found = top_matches(keyword_matches(build_index(memories) if index is None else index, terms_table(texts), seen), limit)
+    of_text = texts.withColumnRenamed("query_id", "asked_")
+    return requests.select("query_id", "query").join(of_text, "query").join(found.withColumnRenamed("query_id", "asked_"), "asked_").select("query_id", "memory_id", "rank", "score")
+
+
+def temporal_signal_each(memories: DataFrame, requests: DataFrame, scope: TenantScope, limit: int = TEMPORAL_LIMIT) -> DataFrame:
+    """(query_id, memory_id, rank, score): temporal_signal() of each (query_id, start, end); null windows find nothing.
+
+    Equal windows are searched once. Of memories of one moment only the `limit` first can be found. The memories are
+    counted by day; a window meets only the days around its centre that, by these counts, can hold its best. Days lie
+    in rings by their distance to the centre's day; ring d is out of reach once rings up to d - 3 hold enough.
+    """
+    limit, day = min(limit, TEMPORAL_LIMIT), lambda t: F.floor(F.unix_micros(t) / 86_400_000_000)
+    rows = active(scoped(memories, scope)).select("memory_id", memory_time().alias("at")).where("at is not null")
+    rows = rows.withColumn("n_", F.row_number().over(W.partitionBy("at").orderBy(F.desc("memory_id")))).where(F.col("n_") <= limit).drop("n_").withColumn("day", day("at"))
+    windows = requests.where("start <= end").select("start", "end").distinct().withColumn("centre", (F.unix_micros("start") + F.unix_micros("end")) / 2)
+    days = windows.select("*", F.explode(F.sequence(day("start"), day("end"))).alias("day")).join(rows.groupBy("day").agg(F.count("*").alias("n")), "day")
+    whole = F.when((F.col("day") > day("start")) & (F.col("day") < day("end")), F.col("n")).otherwise(0)
+    days = days.withColumn("ring", F.abs(F.col("day") - F.floor(F.col("centre") / 86_400_000_000)))
+    inner = F.sum(whole).over(W.partitionBy("start", "end").orderBy("ring").rangeBetween(W.unboundedPreceding, -3))
+    near = days.withColumn("inner", F.coalesce(inner, F.lit(0))).where(F.col("inner") < limit).select("start", "end", "centre", "day")
+    met = near.join(rows, "day").where(F.col("at").between(F.col("start"), F.col("end"))).withColumn("distance", F.abs(F.unix_micros("at") - F.col("centre")))
+    top = met.withColumn("rank", F.row_number().over(W.partitionBy("start", "end").orderBy("distance", F.desc("memory_id"))).cast("long")).where(F.col("rank") <= limit)
+    top = top.select("start", "end", "memory_id", "rank", proximity(F.col("at"), F.col("start"), F.col("end")).alias("score"))
+    return requests.select("query_id", "start", "end").join(top, ["start", "end"]).select("query_id", "memory_id", "rank", "score")
