@@ -53,7 +53,7 @@ def usage_by_content_type(spark, sf_dir):
 
 @query("usage_by_space", T.oracle(T.DAILY, T.SPACES_SQL)(f"select d.space_id, s.name, {SUMS} from daily d left join spaces s on s.space_id = d.space_id and s.deleted_at is null where s.name is not null group by 1, 2"))
 def usage_by_space(spark, sf_dir):
-    return A.by_space(T.daily_usage(spark, sf_dir), T.spaces(spark))
+    return A.by_space(T.daily_usage(spark, sf_dir), T.spaces(spark, sf_dir))
 
 
 @query("month_to_date", daily("select coalesce(sum(tokens_ingested), 0)::bigint as tokens_ingested from daily where date >= date '2024-01-01' and date <= date '2024-01-31'"))

@@ -187,7 +187,7 @@ def memory_page_next(spark, sf_dir):
 @query("key_list", T.oracle(T.SPACES_SQL)("select o_orderkey as key_id, s.name as space from orders left join spaces s on s.space_id = o_custkey % 8"))
 def key_list(spark, sf_dir):
     keys = T.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("key_id"), (F.col("o_custkey") % 8).alias("space_id"))
-    return L.key_list(keys, T.spaces(spark)).select("key_id", "space")
+    return L.key_list(keys, T.spaces(spark, sf_dir)).select("key_id", "space")
 
 
 @query("invite_list", "select o_orderkey as invite_id, n_name as org, c_name as inviter from orders join customer on c_custkey = o_custkey join nation on n_nationkey = o_orderkey % 30")

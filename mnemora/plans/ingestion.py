@@ -248,7 +248,12 @@ def event_dates(spark, sf_dir):
     return rows.select("id", F.date_format(infer_event_date(F.col("content"), F.col("at")), "yyyy-MM-dd").alias("day"))
 
 
-@query("iso_dates", "select id, epoch(t)::bigint as moment from (values (0, timestamp '2026-06-01 00:00:00'), (1, timestamp '2026-06-01 10:30:00'), (2, timestamp '2026-05-31 22:00:00'), (3, null), (4, null), (5, timestamp '2026-06-01')) v(id, t)")
+@query("iso_dates", """select o_orderkey::bigint as id, epoch(case o_orderkey % 8 when 0 then d + to_hours(o_orderkey % 24) when 1 then d + to_hours(o_orderkey % 24) + to_minutes(30) when 2 then d + to_hours(o_orderkey % 24) - to_hours(2) when 3 then d when 6 then d + to_hours(o_orderkey % 24) + to_seconds(7) + to_milliseconds(250) end)::bigint as moment
+  from (select *, date_trunc('day', o_orderdate) as d from orders)""")
 def iso_dates(spark, sf_dir):
-    rows = [(0, "2026-06-01T00:00:00"), (1, "2026-06-01 10:30:00"), (2, "2026-06-01T00:00:00+02:00"), (3, "soon"), (4, "0000-01-01"), (5, "2026-06-01")]
-    return spark.createDataFrame(rows, "id int, v string").select("id", F.unix_timestamp(parse_iso(F.col("v"))).alias("moment"))
+    """Each order's date as written in one of eight ways, three of which are no dates."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    hour = F.lpad((k % 24).cast("string"), 2, "0")
+    said = F.when(k % 8 == 0, F.concat(day, F.lit("T"), hour, F.lit(":00:00"))).when(k % 8 == 1, F.concat(day, F.lit(" "), hour, F.lit(":30"))).when(k % 8 == 2, F.concat(day, F.lit("T"), hour, F.lit(":00:00+02:00"))).when(k % 8 == 3, F.concat(F.lit(" "), day))
+    said = said.when(k % 8 == 4, "soon").when(k % 8 == 5, F.concat(F.lit("0000"), F.substring(day, 5, 6))).when(k % 8 == 6, F.concat(day, F.lit("T"), hour, F.lit(":00:07.250Z")))
+    return T.table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(k.cast("long").alias("id"), F.unix_timestamp(parse_iso(said)).alias("moment"))

@@ -70,7 +70,7 @@ def audit_status(spark, sf_dir):
 
 @query("audit_tombstones", src("select count(*) as spaces, epoch(min(deleted_at))::bigint as oldest from spaces where deleted_at is not null"))
 def audit_tombstones(spark, sf_dir):
-    return A.tombstones(T.spaces(spark)).withColumn("oldest", F.unix_timestamp("oldest"))
+    return A.tombstones(T.spaces(spark, sf_dir)).withColumn("oldest", F.unix_timestamp("oldest"))
 
 
 @query("ingestion_health", job("select status, count(*) as jobs, strftime(min(created_at), '%Y-%m-%d') as oldest, round(avg(epoch(completed_at) - epoch(started_at)), 6) as mean_seconds from jobs group by 1"))
@@ -122,7 +122,7 @@ def source_list(spark, sf_dir):
     from mnemora.operators.scope import active_spaces
 
     rows = L.filtered(T.sources(spark, sf_dir), status="failed", content_type="markdown", space_id=None)
-    return rows.join(active_spaces(T.spaces(spark)).select("space_id", F.col("name").alias("space")), "space_id").select("source_id", "space")
+    return rows.join(active_spaces(T.spaces(spark, sf_dir)).select("space_id", F.col("name").alias("space")), "space_id").select("source_id", "space")
 
 
 # --- life cycle ---
@@ -150,7 +150,7 @@ _DUE = "((status in ('pending', 'processing') and updated_at < timestamp '2024-0
 @query("redrive_batches", src(f"""select source_id, action, case when action = 'redrive' then (row_number() over (partition by action, org_id, space_id, owner_user_id order by created_at, source_id) - 1) // 10 end as batch_no from
   (select *, case when owner_user_id is null then 'ownerless' when attempts >= 5 then 'exhausted' else 'redrive' end as action from sources where {_DUE})"""))
 def redrive_batches(spark, sf_dir):
-    return C.redrive_plan(T.sources(spark, sf_dir), T.spaces(spark), T.at()).select("source_id", "action", "batch_no")
+    return C.redrive_plan(T.sources(spark, sf_dir), T.spaces(spark, sf_dir), T.at()).select("source_id", "action", "batch_no")
 
 
 @query("keyset_pages", """select page, count(*) as rows, min(us) as first_us, max(us) as last_us, (min((us, event_id)))[2] as first_id, (max((us, event_id)))[2] as last_id from (select *, (row_number() over (order by us, event_id) - 1) // 5000 as page
@@ -177,7 +177,7 @@ def forget(spark, sf_dir):
 
 @query("finalizable_spaces", job("select space_id from spaces where deleted_at < timestamp '2024-01-01 12:00:00' and space_id not in (select space_id from jobs where status in ('pending', 'processing') and space_id <> 3)"))
 def finalizable_spaces(spark, sf_dir):
-    return C.finalizable_spaces(T.spaces(spark), T.jobs(spark, sf_dir).where("space_id <> 3"), T.at()).select("space_id")
+    return C.finalizable_spaces(T.spaces(spark, sf_dir), T.jobs(spark, sf_dir).where("space_id <> 3"), T.at()).select("space_id")
 
 
 @query("visibility_propagation", AUDIT("select memory_id, case when memory_id in (select memory_id from chunk_memories join chunks using (chunk_id) where source_id % 6 = 0) then 'org' else visibility end as visibility from memories"))
@@ -198,11 +198,15 @@ def upserted_events(spark, sf_dir):
     return C.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], "event_id")
 
 
-@query("entitlements", "select u as org_id, case u when 2 then '50' when 3 then '10' else '100' end as searches, case when u = 1 then '9' else '5' end as spaces from range(1, 5) t(u)")
+@query("entitlements", """select c_custkey::bigint as org_id, case when c_custkey % 4 = 2 then (c_nationkey * 3)::varchar when c_nationkey < 5 then '50' else '100' end as searches, case when c_custkey % 4 = 1 then (c_custkey % 9)::varchar when c_nationkey < 5 then '7' else '5' end as spaces from customer""")
 def entitlements(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '{"spaces": 9}', None), (2, "[]", {"searches": "50", "spaces": "5"}), (3, '{"searches": 10}', None), (4, None, None)], "org_id long, overrides string, granted map<string,string>")
-    limits = N.entitlements(F.create_map(F.lit("searches"), F.lit("100"), F.lit("spaces"), F.lit("5")), F.col("overrides"), F.col("granted"))
-    return rows.select("org_id", limits.alias("l")).select("org_id", F.col("l")["searches"].alias("searches"), F.col("l")["spaces"].alias("spaces"))
+    """Customers as organisations: those of the first nations have a grant, half of all have overrides, some of them none that is an object."""
+    k, nation = F.col("c_custkey"), F.col("c_nationkey")
+    overrides = F.when(k % 4 == 1, F.to_json(F.struct((k % 9).alias("spaces")))).when(k % 4 == 2, F.to_json(F.struct((nation * 3).alias("searches")))).when(k % 4 == 3, "[]")
+    plan = lambda searches, spaces: F.create_map(F.lit("searches"), F.lit(searches), F.lit("spaces"), F.lit(spaces))
+    limits = N.entitlements(plan("100", "5"), overrides, F.when(nation < 5, plan("50", "7")))
+    rows = T.table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select(k.cast("long").alias("org_id"), limits.alias("l"))
+    return rows.select("org_id", F.col("l")["searches"].alias("searches"), F.col("l")["spaces"].alias("spaces"))
 
 
 @query("json_fields", "select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) as k, coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0) + 1 as merged, 0 as gone from events")

@@ -203,7 +203,19 @@ def fail_open_filter(spark, sf_dir):
     return R.in_range_if_any(rows, test, ["memory_type"]).select("memory_id")
 
 
-@query("mmr")
+# greedy, a choice a step: each step's value is over what has been taken before
+MMR = """with recursive near as (select * from (select *, row_number() over (partition by query_id order by final desc, memory_id) as n from (select q.vec_id as query_id, e.vec_id as memory_id, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as final
+  from embeddings e, embeddings q where q.vec_id % 50 = 0) where final >= 0.1) where n <= 40),
+free as (select * from (select *, final / max(final) over (partition by query_id) as share from near) where share >= 0.3),
+pairs as (select a.query_id, a.memory_id as a, b.memory_id as b, list_cosine_similarity(v.embedding::double[], w.embedding::double[]) as alike from free a join free b using (query_id) join embeddings v on v.vec_id = a.memory_id join embeddings w on w.vec_id = b.memory_id),
+step as (select distinct query_id, 0::bigint as position, null::bigint as memory_id, []::bigint[] as taken from free
+  union all select query_id, position + 1, best, list_append(taken, best) from (select query_id, position, taken, arg_max(memory_id, (value, final, -memory_id)) as best from (
+    select s.query_id, s.position, s.taken, f.memory_id, f.final, 0.6 * f.share - 0.4 * greatest(0, coalesce(max(p.alike), 0)) as value from step s join free f on f.query_id = s.query_id and not list_contains(s.taken, f.memory_id)
+      left join pairs p on p.query_id = f.query_id and p.a = f.memory_id and list_contains(s.taken, p.b) where s.position < 10 group by s.query_id, s.position, s.taken, f.memory_id, f.final, f.share) group by query_id, position, taken))
+select query_id, memory_id, position from step where position > 0"""
+
+
+@query("mmr", MMR)
 def mmr(spark, sf_dir):
     v = T.table(spark, sf_dir, "embeddings")
     near = knn.nearest_batch(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 40)

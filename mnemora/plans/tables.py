@@ -224,12 +224,13 @@ def graph_tables(spark: SparkSession, sf_dir: str) -> GraphTables:
     return GraphTables(memories(spark, sf_dir), entities(spark, sf_dir), edges(spark, sf_dir), memory_entities(spark, sf_dir))
 
 
-def spaces(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    return spark.range(SPACES).select(i.alias("space_id"), F.concat(F.lit("space "), i.cast("string")).alias("name"), F.when(i == 3, at("2023-12-01")).when(i == 4, at("2024-01-20")).alias("deleted_at"))
+def spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A space for each region; two have been deleted."""
+    i = F.col("r_regionkey").cast("long")
+    return table(spark, sf_dir, "region", "r_regionkey").select(i.alias("space_id"), F.concat(F.lit("space "), i.cast("string")).alias("name"), F.when(i == 3, at("2023-12-01")).when(i == 4, at("2024-01-20")).alias("deleted_at"))
 
 
-SPACES_SQL = "spaces as (select i as space_id, 'space ' || i as name, case i when 3 then timestamp '2023-12-01' when 4 then timestamp '2024-01-20' end as deleted_at from range(5) r(i))"
+SPACES_SQL = "spaces as (select r_regionkey::bigint as space_id, 'space ' || r_regionkey as name, case r_regionkey when 3 then timestamp '2023-12-01' when 4 then timestamp '2024-01-20' end as deleted_at from region)"
 
 
 def daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
