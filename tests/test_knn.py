@@ -34,3 +34,18 @@ def test_memory_of_a_cell_does_not_grow_with_its_queries():
         peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
         tracemalloc.stop()
     assert peaks[1] < peaks[0] + 10
+
+
+def test_requests_of_equal_vectors_ask_once(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from mnemora.plans import search as P
+
+    rows, asked = [(q, [1.0, float(q % 2)] if q < 9 else None) for q in range(10)], []
+    requests = spark.createDataFrame(rows, "query_id long, embedding array<double>")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(P, "nearest_batch", lambda v, q: asked.append(q.count()) or knn.nearest_batch(v, q))
+    monkeypatch.setattr(P, "active", lambda _: vectors.withColumnRenamed("vec_id", "memory_id"))
+    monkeypatch.setattr(P, "scoped", lambda *_: None)
+    got = P.signal_plans_each(SimpleNamespace(memories=None), vectors, requests, None, None)["semantic"]().collect()
+    assert asked == [2] and sorted((r.query_id, r.memory_id) for r in got) == sorted([(q, 1) for q in range(9)] + [(q, 2) for q in range(1, 9, 2)])
