@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mnemora.operators import graph as G
 from mnemora.operators import signals as S
 from mnemora.operators.scope import TenantScope
+from mnemora.plans import requests as Q
 from mnemora.plans import search as P
 from mnemora.plans import tables as T
 
@@ -91,3 +92,15 @@ def test_settings_entitlements_and_answers(spark):
     assert out == {1: [(6, None), (5, "Ann")], 2: [], 3: []}
     sourced = P.responses(table, found, spark.createDataFrame([], "user_id long, name string"), spark.createDataFrame([(5, "s")], "memory_id long, source string"))
     assert [c.source for c in sourced.where("query_id = 1").first().candidates] == [None, "s"]
+
+
+def broken(monkeypatch):
+    """From now on the keyword signal of the registered queries fails."""
+    index = T.keyword_index
+    monkeypatch.setattr(T, "keyword_index", lambda spark, sf_dir: index(spark, sf_dir).withColumn("found", F.raise_error(F.lit("down")).cast("binary")))
+
+
+def test_a_failing_signal_ends_search_requests(spark, monkeypatch):
+    broken(monkeypatch)
+    with pytest.raises(Exception, match="down"):
+        Q.QUERIES["search_requests"](spark, D).collect()
