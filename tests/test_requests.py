@@ -104,3 +104,9 @@ def test_a_failing_signal_ends_search_requests(spark, monkeypatch):
     broken(monkeypatch)
     with pytest.raises(Exception, match="down"):
         Q.QUERIES["search_requests"](spark, D).collect()
+
+
+def test_a_failing_signal_ends_search_responses(spark, monkeypatch):
+    broken(monkeypatch)
+    with pytest.raises(Exception, match="down"):
+        Q.QUERIES["search_responses"](spark, D).collect()
