@@ -3,8 +3,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from mnemora.llm.common import groups
 from mnemora.llm.vector_dedup import near_duplicate_vectors
 from tests.llm.cases import Groups, rows_of
 
@@ -54,3 +56,23 @@ def test_bench_table(spark):
 
 def test_empty(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_groups_go_on_over_whole_batches():
+    rows = [("a", 1)] * 5 + [("a", 2)] * 9 + [("b", 2)] * 4 + [("c", 3)]
+    for size in (1, 2, 3, 5, 30):
+        table = pa.table([pa.array([r[k] for r in rows]) for k in (0, 1)] + [pa.array(range(len(rows)))], names=["x", "y", "no"])
+        got = [g.column(2).to_pylist() for g in groups(iter(table.to_batches(max_chunksize=size)), 2)]
+        assert got == [list(range(5)), list(range(5, 14)), list(range(14, 18)), [18]]
+
+
+def test_cells_larger_than_a_batch(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(16)
+    rows = [(i, [float(x) for x in (centre + 0.05 * rng.standard_normal(16)).astype(np.float32)], 1, "c", "r") for i in range(90)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got = rows_of(near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)), "vec_id", "n_links", "component_id", "kept")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows)
