@@ -20,6 +20,7 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -31,7 +32,8 @@ from mnemora.llm.common import Work, components, groups, hot_keys, looked_up, on
 
 COSINE = 0.98
 BLOCKS = 8
-CHUNK = 2048
+CHUNK, CHUNK_VALUES = 2048, 1 << 20  # vectors of a chunk: as many as hold so many numbers, up to 8 * CHUNK
+MET, VERIFIED = 1 << 21, 1 << 22  # pairs of a strip, and numbers of the pairs verified at once
 SLACK = 1e-9
 
 
@@ -119,8 +121,8 @@ def cell_rows(classes: DataFrame, cosine: float) -> DataFrame:
     return on_batches(classes, ["label", "dims", "cid", "weight", "raw"], kernel, "label string, dims int, block int, x long, y long, home boolean, cid long, weight long, raw binary")
 
 
-def compare(block: int, dims: int, raws, home, part, i: int, j: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that link and have this block as their first."""
+def compare(block: int, dims: int, raws, home, part, i: int, j: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that link and have this block as their first, a bounded number at a time."""
     plain = matrix(raws, dims)
     norm = unit(plain)
     turned = norm @ rotation(dims)
@@ -133,27 +135,23 @@ def compare(block: int, dims: int, raws, home, part, i: int, j: int, cosine: flo
     order = np.argsort(axis, kind="stable")
     left = order[part[order] == i]
     right = left if i == j else order[part[order] == j]
-    found = []
-    for lo in range(0, len(left), 256):
-        rows = left[lo : lo + 256]
+    step, few = max(1, min(256, MET // max(1, len(right)))), max(1, VERIFIED // dims)
+    for lo in range(0, len(left), step):
+        rows = left[lo : lo + step]
         strip = right[np.searchsorted(axis[right], axis[rows[0]] - radius) : np.searchsorted(axis[right], axis[rows[-1]] + radius, side="right")]
         near = sq[rows][:, None] + sq[strip][None, :] - 2 * (xs[rows] @ xs[strip].T) <= budget[block] + SLACK
         near &= home[rows][:, None] | home[strip][None, :]
         if i == j:
             near &= rows[:, None] < strip[None, :]
         u, v = np.nonzero(near)
-        found.append((rows[u], strip[v]))
-    u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    keep_u, keep_v = [], []
-    for lo in range(0, len(u), 100_000):
-        a, b = u[lo : lo + 100_000], v[lo : lo + 100_000]
-        gap = (turned[a] - turned[b]) ** 2
-        inside = np.add.reduceat(gap, edges[:-1], axis=1) <= budget
-        ok = inside[:, block] & ~inside[:, :block].any(axis=1)
-        ok[ok] = np.einsum("ij,ij->i", norm[a[ok]], norm[b[ok]]) >= cosine
-        keep_u.append(a[ok])
-        keep_v.append(b[ok])
-    return (np.concatenate(keep_u), np.concatenate(keep_v)) if keep_u else (u, v)
+        for at in range(0, len(u), few):
+            a, b = rows[u[at : at + few]], strip[v[at : at + few]]
+            gap = (turned[a] - turned[b]) ** 2
+            inside = np.add.reduceat(gap, edges[:-1], axis=1) <= budget
+            ok = inside[:, block] & ~inside[:, :block].any(axis=1)
+            ok[ok] = np.einsum("ij,ij->i", norm[a[ok]], norm[b[ok]]) >= cosine
+            if ok.any():
+                yield a[ok], b[ok]
 
 
 def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -168,13 +166,14 @@ def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return label
 
 
-def links(classes: DataFrame, work: Work, cosine: float, chunk: int) -> DataFrame:
+def links(classes: DataFrame, work: Work, cosine: float, chunk: int | None) -> DataFrame:
     """(cid, links, root): weighted links found in a task, and a tree link to a vector of the same component."""
     cells = cell_rows(classes, cosine)
     key = ["label", "dims", "block", "x", "y"]
-    # few cells have more than `chunk` vectors: fewer than the vectors' cells divided by it
-    large = cells.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > chunk)
-    parts = cells.join(large, key, "left").withColumn("k", F.coalesce(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int"))
+    # a vector is sent once for each chunk of its cell; few cells have more than one chunk: fewer than the vectors' cells divided by it
+    chunk = F.lit(chunk) if chunk else F.greatest(F.lit(CHUNK), F.least(F.lit(8 * CHUNK), F.floor(CHUNK_VALUES / F.col("dims"))))
+    large = cells.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > chunk).withColumn("k", F.ceil(F.col("size") / chunk).cast("int"))
+    parts = cells.join(F.broadcast(large.drop("size")), key, "left").withColumn("k", F.coalesce("k", F.lit(1)))
     parts = parts.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")
     dealt = parts.select(*key, "home", "cid", "weight", "raw", "part", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
@@ -183,11 +182,12 @@ def links(classes: DataFrame, work: Work, cosine: float, chunk: int) -> DataFram
     def solve(rows):
         _, dims, block, _, _, i, j = (rows.column(k)[0].as_py() for k in range(7))
         cid, weight, home, part = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("cid", "weight", "home", "part"))
-        u, v = compare(block, dims, rows.column("raw").to_pylist(), home, part, i, j, cosine)
-        if not len(u):
+        count, root = np.zeros(len(cid)), np.arange(len(cid))
+        for u, v in compare(block, dims, rows.column("raw").to_pylist(), home, part, i, j, cosine):
+            count += np.bincount(u, weights=weight[v], minlength=len(cid)) + np.bincount(v, weights=weight[u], minlength=len(cid))
+            root = roots(len(cid), root[u], root[v])[root]
+        if not count.any():
             return None
-        count = np.bincount(u, weights=weight[v], minlength=len(cid)) + np.bincount(v, weights=weight[u], minlength=len(cid))
-        root = roots(len(cid), u, v)
         at = np.flatnonzero(count > 0)
         return pa.record_batch([pa.array(cid[at]), pa.array(count[at].astype(np.int64)), pa.array(cid[root[at]])], names=["cid", "links", "root"])
 
@@ -200,7 +200,7 @@ def links(classes: DataFrame, work: Work, cosine: float, chunk: int) -> DataFram
     return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "cid long, links long, root long")
 
 
-def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, chunk: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     with Work(vectors.sparkSession, "vector-dedup") as work:
         rows = work.save(vector_classes(vectors), "vectors")

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from mnemora.llm import vector_dedup as V
 from mnemora.llm.common import groups
 from mnemora.llm.vector_dedup import near_duplicate_vectors
 from tests.llm.cases import Groups, rows_of
@@ -76,3 +77,15 @@ def test_cells_larger_than_a_batch(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute(rows)
+
+
+def test_links_come_a_bounded_number_at_a_time(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal(16) + 0.08 * rng.standard_normal((60, 16))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(i, j) for i, j in itertools.combinations(range(60), 2) if unit[i] @ unit[j] >= 0.98}
+    monkeypatch.setattr(V, "VERIFIED", 16 * 10)
+    found = [list(zip(u.tolist(), v.tolist(), strict=True)) for b in range(V.BLOCKS) for u, v in V.compare(b, 16, [r.tobytes() for r in x], np.ones(60, bool), np.zeros(60, int), 0, 0, 0.98)]
+    assert max(map(len, found)) <= 10
+    pairs = [tuple(sorted(p)) for part in found for p in part]
+    assert len(pairs) == len(set(pairs)) > 100 and set(pairs) == want
